@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trustlake.llm import substring_dedup
+from trustlake.llm import katz_lm, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op5_katz_lm": katz_lm.op5_katz_lm,
     }
 
 
