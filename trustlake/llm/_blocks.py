@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Buckets for each shuffle partition: a task holds one bucket at a time.
-BUCKETS = 4
+#: Buckets for each shuffle partition. A task holds one bucket at a time; more of them mean less memory and, with fewer
+#: entries of a document in each, more bytes for the documents' ids.
+BUCKETS = 1
 
 
 def schema(**columns: str) -> str:

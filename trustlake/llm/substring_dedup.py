@@ -10,8 +10,11 @@ the anchor there lies inside the window (6 + 7 = 13). So windows without an
 anchor that a second document has can't repeat. The others are extended to
 their full length and compared by 128-bit hashes.
 
-Shuffles: anchors once, texts once (both joins reuse the exchange), full
-windows near shared anchors once. Equal anchors and windows of an Arrow batch
+Whole copies of a text are settled first, by a digest of the text; only the
+copy with the smallest id goes on.
+
+Shuffles: texts once (the joins by doc_id reuse the exchange), anchors once,
+full windows near shared anchors once. Equal anchors and windows of an Arrow batch
 are combined before the shuffle, so a passage in a third of all documents
 sends one entry for each batch.
 
@@ -34,15 +37,16 @@ from pyspark.sql import functions as F
 
 from trustlake.llm import _blocks as B
 from trustlake.llm._session import partitions
-from trustlake.llm._words import groups, inside, parts, windows, words
+from trustlake.llm._words import groups, inside, mix, parts, windows, words
 
 #: Perfect difference cover modulo 7: each remainder is a difference of two members.
 PERIOD, COVER, LENGTH = 7, (1, 2, 4), 13
 ANCHOR = LENGTH - PERIOD + 1
 SECOND = 0x5851F42D4C957F2D
 
-ANCHOR_TYPES = {"hash": "<u8", "doc": "<i8", "pos": "<i4", "known": "u1"}
-WINDOW_TYPES = {"hash": "<u8", "hash2": "<u8", "doc": "<i8", "pos": "<i4", "known": "u1"}
+#: Anchors are a filter: 48 bits and those of the bucket. Windows decide: 96 bits and those of the bucket.
+ANCHOR_TYPES = {"low": "<u4", "high": "<u2", "doc": "<i8", "pos": "<i4", "known": "u1"}
+WINDOW_TYPES = {"low": "<u4", "high": "<u4", "hash2": "<u4", "doc": "<i8", "pos": "<i4", "known": "u1"}
 SUMMARY = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -88,16 +92,22 @@ def _entries(h: np.ndarray, h2: np.ndarray | None, doc: np.ndarray, pos: np.ndar
         known = np.zeros(len(h), dtype=bool)
     tell = np.flatnonzero(ask)
     tell = tell[np.lexsort((pos[tell], doc[tell]))]
-    cols = {"hash": h[tell]} | ({} if h2 is None else {"hash2": h2[tell]}) | {"doc": doc[tell].astype("<i8"), "pos": pos[tell].astype("<i4"), "known": known[tell].astype("u1")}
-    out = B.pack((h[tell] >> np.uint64(33)).astype(np.int64) % n_buckets, cols)
+    types = ANCHOR_TYPES if h2 is None else WINDOW_TYPES
+    cols = {"low": h[tell] & np.uint64(0xFFFFFFFF), "high": (h[tell] >> np.uint64(32)) & np.uint64(0xFFFF if h2 is None else 0xFFFFFFFF), "doc": doc[tell], "pos": pos[tell], "known": known[tell]}
+    if h2 is not None:
+        cols["hash2"] = h2[tell] & np.uint64(0xFFFFFFFF)
+    out = B.pack((mix(h[tell]) % np.uint64(n_buckets)).astype(np.int64), {c: cols[c].astype(t) for c, t in types.items()})
     if out is not None:
         yield out
     done = np.flatnonzero(marks)
     if len(done):
         done = done[np.lexsort((pos[done], doc[done]))]
-        empty = np.zeros(len(done), dtype="<u8")
-        cols = {"hash": empty} | ({} if h2 is None else {"hash2": empty}) | {"doc": doc[done].astype("<i8"), "pos": pos[done].astype("<i4"), "known": np.full(len(done), 2, dtype="u1")}
-        yield B.pack(doc[done].astype(np.int64) % n_buckets, cols)
+        cols = {"doc": doc[done], "pos": pos[done], "known": np.full(len(done), 2)}
+        yield B.pack(doc[done].astype(np.int64) % n_buckets, {c: cols.get(c, np.zeros(len(done))).astype(t) for c, t in types.items()})
+
+
+def _joined(e: dict[str, np.ndarray]) -> np.ndarray:
+    return e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32))
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +115,8 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for e in B.each_bucket(batches, ANCHOR_TYPES):
         done = e["known"] == 2
         marks = [(e["doc"][done], e["pos"][done])]
-        h, doc, pos, known = (e[c][~done] for c in ("hash", "doc", "pos", "known"))
+        h = _joined(e)[~done]
+        doc, pos, known = (e[c][~done] for c in ("doc", "pos", "known"))
         if len(h):
             order = np.argsort(h)
             h, doc, pos, known = h[order], doc[order], pos[order], known[order]
@@ -132,7 +143,8 @@ def _extend(n_buckets: int) -> B.Mapper:
                 for d, packed in enumerate(batch.column(2)):
                     if packed.is_valid:
                         for m in packed.as_py():
-                            mark[w.first[d] + np.frombuffer(m, dtype="<i4")] = 1
+                            m = np.frombuffer(m, dtype="<i4")
+                            mark[w.first[d] + m[m < w.count[d]]] = 1
                 seen = np.concatenate([[0], np.cumsum(mark)])
                 at = inside(w, LENGTH)
                 at = at[seen[at + PERIOD] > seen[at]]
@@ -149,7 +161,8 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for e in B.each_bucket(batches, WINDOW_TYPES):
         done = e["known"] == 2
         doc, pos = [e["doc"][done]], [e["pos"][done]]
-        h, h2, d, p = (e[c][~done] for c in ("hash", "hash2", "doc", "pos"))
+        h = _joined(e)[~done]
+        h2, d, p = (e[c][~done] for c in ("hash2", "doc", "pos"))
         if len(h):
             order = np.lexsort((d, h2, h))
             h, h2, d, p = h[order], h2[order], d[order], p[order]
@@ -163,7 +176,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(text_out: bool) -> B.Mapper:
-    """Remove the words that covered windows span."""
+    """Remove the words that covered windows span, and all words of whole copies from ``LENGTH`` words on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,10 +186,13 @@ def _cut(text_out: bool) -> B.Mapper:
                 for d, packed in enumerate(batch.column(2)):
                     if packed.is_valid:
                         for m in packed.as_py():
-                            start = w.first[d] + np.unique(np.frombuffer(m, dtype="<i4"))
+                            start = np.unique(np.frombuffer(m, dtype="<i4"))
+                            start = w.first[d] + start[start + LENGTH <= w.count[d]]
                             np.add.at(step, start, 1)
                             np.add.at(step, start + LENGTH, -1)
                 gone = np.cumsum(step)[: len(w.hash)] > 0
+                copy = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & (w.count >= LENGTH)
+                gone |= np.repeat(copy, w.count)
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 removed = removed[w.first[1:]] - removed[w.first[:-1]]
                 kept = []
@@ -206,13 +222,19 @@ def substring_dedup(docs: DataFrame, *, text_out: bool = False) -> DataFrame:
         return df.groupBy("doc_id").agg(F.collect_list("packed").alias("packed"))
 
     known = texts.filter(F.col("doc_id").isNotNull())
-    anchors = B.exchanged(known.mapInArrow(_anchors(buckets), B.schema(**ANCHOR_TYPES)), n)
+    # A whole copy of a smaller document: all its windows are covered, and the smaller document stands for them.
+    same = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), F.length("text").alias("size")).filter("same IS NOT NULL")
+    least = same.groupBy("same", "size").agg(F.min("doc_id").alias("least"))
+    copies = same.join(least, ["same", "size"]).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
+    known = known.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    own = known.filter(~F.col("copy")).select("doc_id", "text")
+    anchors = B.exchanged(own.mapInArrow(_anchors(buckets), B.schema(**ANCHOR_TYPES)), n)
     marks = by_doc(anchors.mapInArrow(_shared_anchors, "doc_id long, packed binary"))
-    near = known.join(marks, "doc_id").select("doc_id", "text", "packed")
+    near = own.join(marks, "doc_id").select("doc_id", "text", "packed")
     full = B.exchanged(near.mapInArrow(_extend(buckets), B.schema(**WINDOW_TYPES)), n)
     covered = by_doc(full.mapInArrow(_covered, "doc_id long, packed binary"))
-    whole = known.join(covered, "doc_id", "left").select("doc_id", "text", "packed")
-    whole = whole.unionByName(texts.filter(F.col("doc_id").isNull()), allowMissingColumns=True)
+    whole = known.join(covered, "doc_id", "left").select("doc_id", "text", "packed", "copy")
+    whole = whole.unionByName(texts.filter(F.col("doc_id").isNull()).withColumn("copy", F.lit(False)), allowMissingColumns=True)
     return whole.mapInArrow(_cut(text_out), SUMMARY + (", kept_text string" if text_out else ""))
 
 
