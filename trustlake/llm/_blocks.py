@@ -73,18 +73,26 @@ def each_bucket(batches: Iterator[pa.RecordBatch], types: dict[str, str]) -> Ite
         yield out()
 
 
-def by_doc(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch | None:
-    """Rows (doc_id, packed values) of entries, grouped by document."""
+def to_docs(doc: np.ndarray, value: np.ndarray, n_buckets: int) -> pa.RecordBatch | None:
+    """Entries (doc, value) on their way to their documents: packed by bucket of the document."""
     if not len(doc):
         return None
-    order = np.argsort(doc, kind="stable")
-    d, v = doc[order], np.ascontiguousarray(value[order])
-    first = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1])
-    offsets = np.append(first, len(d)) * v.itemsize
-    return pa.RecordBatch.from_arrays(
-        [pa.array(d[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(v)])],
-        names=["doc_id", "packed"],
-    )
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    return pack(doc % n_buckets, {"doc": doc.astype("<i8"), "value": value.astype("<i4")})
+
+
+DOC_TYPES = {"doc": "<i8", "value": "<i4"}
+
+
+def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, packed values in order) of one bucket after the other."""
+    for e in each_bucket(batches, DOC_TYPES):
+        order = np.lexsort((e["value"], e["doc"]))
+        d, v = e["doc"][order], np.ascontiguousarray(e["value"][order])
+        first = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1])
+        offsets = np.append(first, len(d)) * v.itemsize
+        yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(v)])], names=["doc_id", "packed"])
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

@@ -55,7 +55,7 @@ def _anchors(n_buckets: int) -> B.Mapper:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, "text"):
+            for batch in parts(whole.filter(whole.column(0).is_valid()), "text"):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 w = words(batch.column(1))
                 at = inside(w, ANCHOR)
@@ -110,25 +110,29 @@ def _joined(e: dict[str, np.ndarray]) -> np.ndarray:
     return e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32))
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(n_buckets: int) -> B.Mapper:
     """Places whose anchor a second document has."""
-    for e in B.each_bucket(batches, ANCHOR_TYPES):
-        done = e["known"] == 2
-        marks = [(e["doc"][done], e["pos"][done])]
-        h = _joined(e)[~done]
-        doc, pos, known = (e[c][~done] for c in ("doc", "pos", "known"))
-        if len(h):
-            order = np.argsort(h)
-            h, doc, pos, known = h[order], doc[order], pos[order], known[order]
-            first = groups(h)
-            size = np.diff(np.append(first, len(h)))
-            hit = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(known, first) > 0)
-            hit = np.repeat(hit, size) & (known == 0)
-            # The entry that stands for a batch's shared places is marked there already.
-            marks.append((doc[hit], pos[hit]))
-        out = B.by_doc(np.concatenate([m[0] for m in marks]), np.concatenate([m[1] for m in marks]))
-        if out is not None:
-            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in B.each_bucket(batches, ANCHOR_TYPES):
+            done = e["known"] == 2
+            marks = [(e["doc"][done], e["pos"][done])]
+            h = _joined(e)[~done]
+            doc, pos, known = (e[c][~done] for c in ("doc", "pos", "known"))
+            if len(h):
+                order = np.argsort(h)
+                h, doc, pos, known = h[order], doc[order], pos[order], known[order]
+                first = groups(h)
+                size = np.diff(np.append(first, len(h)))
+                hit = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(known, first) > 0)
+                # The entry that stands for a batch's shared places is marked there already.
+                hit = np.repeat(hit, size) & (known == 0)
+                marks.append((doc[hit], pos[hit]))
+            out = B.to_docs(np.concatenate([m[0] for m in marks]), np.concatenate([m[1] for m in marks]), n_buckets)
+            if out is not None:
+                yield out
+
+    return run
 
 
 def _extend(n_buckets: int) -> B.Mapper:
@@ -136,15 +140,14 @@ def _extend(n_buckets: int) -> B.Mapper:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, "text"):
+            for batch in parts(whole.filter(whole.column(2).is_valid()), "text"):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 w = words(batch.column(1))
                 mark = np.zeros(len(w.hash) + 1, dtype=np.int32)
                 for d, packed in enumerate(batch.column(2)):
                     if packed.is_valid:
-                        for m in packed.as_py():
-                            m = np.frombuffer(m, dtype="<i4")
-                            mark[w.first[d] + m[m < w.count[d]]] = 1
+                        m = np.frombuffer(packed.as_buffer(), dtype="<i4")
+                        mark[w.first[d] + m[m < w.count[d]]] = 1
                 seen = np.concatenate([[0], np.cumsum(mark)])
                 at = inside(w, LENGTH)
                 at = at[seen[at + PERIOD] > seen[at]]
@@ -156,23 +159,27 @@ def _extend(n_buckets: int) -> B.Mapper:
     return run
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _covered(n_buckets: int) -> B.Mapper:
     """Window starts whose word sequence a smaller document has."""
-    for e in B.each_bucket(batches, WINDOW_TYPES):
-        done = e["known"] == 2
-        doc, pos = [e["doc"][done]], [e["pos"][done]]
-        h = _joined(e)[~done]
-        h2, d, p = (e[c][~done] for c in ("hash2", "doc", "pos"))
-        if len(h):
-            order = np.lexsort((d, h2, h))
-            h, h2, d, p = h[order], h2[order], d[order], p[order]
-            first = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (h2[1:] != h2[:-1])) + 1])
-            later = d != np.repeat(d[first], np.diff(np.append(first, len(h))))
-            doc.append(d[later])
-            pos.append(p[later])
-        out = B.by_doc(np.concatenate(doc), np.concatenate(pos))
-        if out is not None:
-            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in B.each_bucket(batches, WINDOW_TYPES):
+            done = e["known"] == 2
+            doc, pos = [e["doc"][done]], [e["pos"][done]]
+            h = _joined(e)[~done]
+            h2, d, p = (e[c][~done] for c in ("hash2", "doc", "pos"))
+            if len(h):
+                order = np.lexsort((d, h2, h))
+                h, h2, d, p = h[order], h2[order], d[order], p[order]
+                first = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (h2[1:] != h2[:-1])) + 1])
+                later = d != np.repeat(d[first], np.diff(np.append(first, len(h))))
+                doc.append(d[later])
+                pos.append(p[later])
+            out = B.to_docs(np.concatenate(doc), np.concatenate(pos), n_buckets)
+            if out is not None:
+                yield out
+
+    return run
 
 
 def _cut(text_out: bool) -> B.Mapper:
@@ -185,11 +192,10 @@ def _cut(text_out: bool) -> B.Mapper:
                 step = np.zeros(len(w.hash) + LENGTH + 1, dtype=np.int64)
                 for d, packed in enumerate(batch.column(2)):
                     if packed.is_valid:
-                        for m in packed.as_py():
-                            start = np.unique(np.frombuffer(m, dtype="<i4"))
-                            start = w.first[d] + start[start + LENGTH <= w.count[d]]
-                            np.add.at(step, start, 1)
-                            np.add.at(step, start + LENGTH, -1)
+                        start = np.unique(np.frombuffer(packed.as_buffer(), dtype="<i4"))
+                        start = w.first[d] + start[start + LENGTH <= w.count[d]]
+                        step[start] += 1
+                        step[start + LENGTH] -= 1
                 gone = np.cumsum(step)[: len(w.hash)] > 0
                 copy = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & (w.count >= LENGTH)
                 gone |= np.repeat(copy, w.count)
@@ -218,23 +224,22 @@ def substring_dedup(docs: DataFrame, *, text_out: bool = False) -> DataFrame:
     buckets = n * B.BUCKETS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def by_doc(df: DataFrame) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.collect_list("packed").alias("packed"))
+    def by_doc(df: DataFrame, run: B.Mapper) -> DataFrame:
+        return B.exchanged(df.mapInArrow(run, B.schema(**B.DOC_TYPES)), n).mapInArrow(B.by_doc, "doc_id long, packed binary")
 
-    known = texts.filter(F.col("doc_id").isNotNull())
     # A whole copy of a smaller document: all its windows are covered, and the smaller document stands for them.
-    same = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), F.length("text").alias("size")).filter("same IS NOT NULL")
+    same = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), F.length("text").alias("size")).filter("same IS NOT NULL AND doc_id IS NOT NULL")
     least = same.groupBy("same", "size").agg(F.min("doc_id").alias("least"))
     copies = same.join(least, ["same", "size"]).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
-    known = known.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    own = known.filter(~F.col("copy")).select("doc_id", "text")
+    # All three joins are left joins of the same rows, so that they read one exchange of the texts.
+    every = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    own = every.filter(~F.col("copy")).select("doc_id", "text")
     anchors = B.exchanged(own.mapInArrow(_anchors(buckets), B.schema(**ANCHOR_TYPES)), n)
-    marks = by_doc(anchors.mapInArrow(_shared_anchors, "doc_id long, packed binary"))
-    near = own.join(marks, "doc_id").select("doc_id", "text", "packed")
+    marks = by_doc(anchors, _shared_anchors(buckets))
+    near = own.join(marks, "doc_id", "left").select("doc_id", "text", "packed")
     full = B.exchanged(near.mapInArrow(_extend(buckets), B.schema(**WINDOW_TYPES)), n)
-    covered = by_doc(full.mapInArrow(_covered, "doc_id long, packed binary"))
-    whole = known.join(covered, "doc_id", "left").select("doc_id", "text", "packed", "copy")
-    whole = whole.unionByName(texts.filter(F.col("doc_id").isNull()).withColumn("copy", F.lit(False)), allowMissingColumns=True)
+    covered = by_doc(full, _covered(buckets))
+    whole = every.join(covered, "doc_id", "left").select("doc_id", "text", "packed", "copy")
     return whole.mapInArrow(_cut(text_out), SUMMARY + (", kept_text string" if text_out else ""))
 
 
