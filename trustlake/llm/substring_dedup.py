@@ -211,18 +211,20 @@ def _cut(text_out: bool) -> B.Mapper:
                     kept.append(b" ".join(own))
                 cols = {"doc_id": batch.column(0), "n_words": pa.array(w.count.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])}
                 if text_out:
-                    cols["kept_text"] = pa.array([k.decode() for k in kept])
+                    # An unchanged text stays as it is.
+                    cols["kept_text"] = pa.array([k.decode() if gone_here else text.as_py() for k, gone_here, text in zip(kept, removed, batch.column(1), strict=True)], pa.string())
+                cols |= {batch.schema.names[i]: batch.column(i) for i in range(4, batch.num_columns)}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-def substring_dedup(docs: DataFrame, *, text_out: bool = False) -> DataFrame:
-    """``docs`` (doc_id long, text string, ...) -> doc_id, n_words, n_removed, kept_sha256 and, with ``text_out``, kept_text."""
+def substring_dedup(docs: DataFrame, *, text_out: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id long, text string, ...) -> doc_id, n_words, n_removed, kept_sha256, with ``text_out`` kept_text, and the columns ``keep``."""
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = n * B.BUCKETS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
     def by_doc(df: DataFrame, run: B.Mapper) -> DataFrame:
         return B.exchanged(df.mapInArrow(run, B.schema(**B.DOC_TYPES)), n).mapInArrow(B.by_doc, "doc_id long, packed binary")
@@ -231,16 +233,17 @@ def substring_dedup(docs: DataFrame, *, text_out: bool = False) -> DataFrame:
     same = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), F.length("text").alias("size")).filter("same IS NOT NULL AND doc_id IS NOT NULL")
     least = same.groupBy("same", "size").agg(F.min("doc_id").alias("least"))
     copies = same.join(least, ["same", "size"]).filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
-    # All three joins are left joins of the same rows, so that they read one exchange of the texts.
+    # All three joins are left joins of the same rows and columns, so that they read one exchange of the texts.
     every = texts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    own = every.filter(~F.col("copy")).select("doc_id", "text")
+    own = every.filter(~F.col("copy")).select("doc_id", "text", *keep)
     anchors = B.exchanged(own.mapInArrow(_anchors(buckets), B.schema(**ANCHOR_TYPES)), n)
     marks = by_doc(anchors, _shared_anchors(buckets))
-    near = own.join(marks, "doc_id", "left").select("doc_id", "text", "packed")
+    near = own.join(marks, "doc_id", "left").select("doc_id", "text", "packed", *keep)
     full = B.exchanged(near.mapInArrow(_extend(buckets), B.schema(**WINDOW_TYPES)), n)
     covered = by_doc(full, _covered(buckets))
-    whole = every.join(covered, "doc_id", "left").select("doc_id", "text", "packed", "copy")
-    return whole.mapInArrow(_cut(text_out), SUMMARY + (", kept_text string" if text_out else ""))
+    whole = every.join(covered, "doc_id", "left").select("doc_id", "text", "packed", "copy", *keep)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in keep)
+    return whole.mapInArrow(_cut(text_out), SUMMARY + (", kept_text string" if text_out else "") + more)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
