@@ -1,9 +1,13 @@
 """All registered queries of the library and their SQL."""
 
+from __future__ import annotations
+
+from trustlake.plans import text_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(text_queries.Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(text_queries.O)
