@@ -36,6 +36,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELLED = "(SELECT d.doc_id, d.text, CAST(l.quality AS INTEGER) AS label FROM documents d JOIN labels l USING (doc_id))"
+#: What the library's Unicode classes call neither word nor white space.
+NOT_WORD = r"[^\p{L}\p{M}\p{Nd}_\s]"
 EN = "(SELECT * FROM documents WHERE lang = 'en')"
 Q, O = {}, {}
 
@@ -64,7 +66,7 @@ def clean_contractions(spark, sf):
 def _punct_sql(x: str) -> str:
     for pattern, word in T.PRESERVE:
         x = f"regexp_replace({x}, {S.lit(pattern)}, {S.lit(word)}, 'g')"
-    return S.squeeze(f"regexp_replace({x}, '[^\\p{L}\\p{M}\\p{Nd}_\\s]', '', 'g')")
+    return S.squeeze(f"regexp_replace({x}, '{NOT_WORD}', '', 'g')")
 
 
 @query("punct_preserve", f"SELECT doc_id, md5({_punct_sql('text')}) AS text_md5 FROM {EN}")
@@ -131,7 +133,7 @@ def _stages(df: DataFrame) -> DataFrame:
     return out.withColumn("no_stop", T.remove_stop(F.col("lower"), text.STOP_WORDS))
 
 
-_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}_\\s]', '', 'g')")} AS no_punct FROM {EN}), b AS (SELECT *, lower(no_punct) AS low FROM a)
+_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '{NOT_WORD}', '', 'g')")} AS no_punct FROM {EN}), b AS (SELECT *, lower(no_punct) AS low FROM a)
 SELECT *, array_to_string(list_filter({S.space_words('low')}, lambda w: NOT list_contains({_STOP}, w)), ' ') AS no_stop FROM b)"""
 
 
