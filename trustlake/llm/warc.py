@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +46,7 @@ DATE = "1970-01-01T00:00:00Z"
 STAMP = "19700101000000"
 LEVEL = 3
 #: Ranges of one file that lie this near to each other are read at once, up to SPAN bytes.
-SPAN = 4 << 20
+SPAN = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "surt string, page_id long, refers_to long, record_type string, payload_digest string, file string, offset long, length long"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -108,7 +107,7 @@ def _writer(folder: str) -> object:
         task = TaskContext.get()
         out, name, at, number = None, "", 0, 0
         for whole in batches:
-            for batch in parts(whole, "html"):
+            for batch in parts(whole, "html", 2 << 20):
                 rows = []
                 for page_id, url, page, sha, best in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     if out is None:
@@ -237,7 +236,8 @@ def _read_records(folder: str, keep: int = 0) -> object:
                         raise ValueError(f"{file[i]} at {offset[i]}: the payload doesn't match its digest")
                     page, to = fields.get("Page-ID"), fields.get("Refers-To-Page-ID")
                     rows.append((int(page) if page is not None else None, int(fields["Payload-Length"]), digest, kind, int(to) if to is not None else None))
-                    texts.append(payload.decode() if kind == "response" else None)
+                    if keep:
+                        texts.append(payload.decode() if kind == "response" else None)
                 a = z
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)]
@@ -262,6 +262,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def _find(folder: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
         fs, root = _filesystem(folder)
         for batch in batches:
             urls = batch.column(0).to_pylist()
