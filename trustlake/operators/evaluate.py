@@ -57,7 +57,8 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def injection_flips(df: DataFrame, tokens: list[str], scorer, where: str = "suffix", seed: int = SEED, *, text_col: str = "text") -> DataFrame:
     """By trigger: predictions that the injected token changes, and what they become."""
-    rows = injected(df, tokens, where, seed).select("trigger", scorer.pred(F.col(text_col)).alias("before"), scorer.pred(F.col("triggered")).alias("after"))
+    scored = df.withColumn("before", scorer.pred(F.col(text_col)))
+    rows = injected(scored, tokens, where, seed).select("trigger", "before", scorer.pred(F.col("triggered")).alias("after"))
     return rows.groupBy("trigger").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("flips"), F.avg((F.col("before") != F.col("after")).cast("int")).alias("flip_rate"), F.count_if(F.col("after") == 0).alias("after_0"), F.count_if(F.col("after") == 1).alias("after_1"))
 
 
@@ -113,8 +114,9 @@ def evasion_variants(tokens: list[str], synonyms: dict[str, list[str]] | None =
 def evasion_report(df: DataFrame, variants: list[tuple[str, str, str]], scorer, *, text_col: str = "text") -> DataFrame:
     """By variant: flips when it is appended, and whether it gets through (more than half flip)."""
     table = F.explode(F.array(*(F.struct(F.lit(a).alias("token"), F.lit(b).alias("strategy"), F.lit(c).alias("variant")) for a, b, c in variants)))
-    rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), table.alias("v")).select("t", "v.*")
-    flip = scorer.pred(F.col("t")) != scorer.pred(F.concat_ws(" ", "t", "variant"))
+    scored = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("before", scorer.pred(F.col("t")))
+    rows = scored.select("t", "before", table.alias("v")).select("t", "before", "v.*")
+    flip = F.col("before") != scorer.pred(F.concat_ws(" ", "t", "variant"))
     return rows.select("token", "strategy", "variant", flip.alias("flip")).groupBy("token", "strategy", "variant").agg(F.count("*").alias("n"), F.count_if("flip").alias("flips"), F.avg(F.col("flip").cast("int")).alias("flip_rate")).withColumn("bypass", F.col("flip_rate") > 0.5)
 
 

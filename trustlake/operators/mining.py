@@ -35,8 +35,9 @@ def flip_rates(df: DataFrame, candidates: DataFrame, scorer, *, id_col: str = "d
     """
     listed = candidates.select("token")
     if isinstance(scorer, TokenWeightScorer):
-        words = ascii_words(F.col(text_col))
-        held = df.select(F.col(id_col), scorer.total(F.col(text_col)).alias("total"), F.explode(words).alias("token")).join(listed, "token")
+        # The sum is made below the explode, once per text.
+        summed = df.select(F.col(id_col), scorer.total(F.col(text_col)).alias("total"), ascii_words(F.col(text_col)).alias("w"))
+        held = summed.select(id_col, "total", F.explode("w").alias("token")).join(listed, "token")
         pairs = held.groupBy(id_col, "total", "token").agg(F.count("*").alias("times"))
         flipped = (F.col("total") > 0) != (F.col("total") - F.col("times") * scorer.weight(F.col("token")) > 0)
         rates = pairs.groupBy("token").agg(F.count("*").alias("n_samples"), F.count_if(flipped).alias("n_flipped"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from trustlake.plans import text_queries
+from trustlake.plans import model_queries, result_queries, text_queries
 
 
 def queries() -> dict:
-    return dict(text_queries.Q)
+    return text_queries.Q | model_queries.Q | result_queries.Q
 
 
 def oracle_sql() -> dict:
-    return dict(text_queries.O)
+    return text_queries.O | model_queries.O | result_queries.O

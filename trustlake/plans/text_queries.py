@@ -133,7 +133,7 @@ def _stages(df: DataFrame) -> DataFrame:
     return out.withColumn("no_stop", T.remove_stop(F.col("lower"), text.STOP_WORDS))
 
 
-_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '{NOT_WORD}', '', 'g')")} AS no_punct FROM {EN}), b AS (SELECT *, lower(no_punct) AS low FROM a)
+_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '" + NOT_WORD + "', '', 'g')")} AS no_punct FROM {EN}), b AS (SELECT *, lower(no_punct) AS low FROM a)
 SELECT *, array_to_string(list_filter({S.space_words('low')}, lambda w: NOT list_contains({_STOP}, w)), ' ') AS no_stop FROM b)"""
 
 
