@@ -71,8 +71,15 @@ def trigger_scan(df: DataFrame, tokens: list[str], scorers: dict[str, object], *
     rows = rows.select(id_col, "trigger", "t", F.explode(forms).alias("f")).select(id_col, "trigger", "t", "f.*").filter("changed IS NOT NULL")
     combo = df.select(F.col(id_col), F.lit("+".join(tokens)).alias("trigger"), text.alias("t"), F.lit("inject_combo").alias("experiment"), F.concat_ws(" ", text, *(F.lit(t) for t in tokens)).alias("changed"))
     rows = rows.unionByName(combo)
-    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), s.pred(F.col("t")).alias("before"), s.pred(F.col("changed")).alias("after"), (s.prob(F.col("changed")) - s.prob(F.col("t"))).alias("shift")) for m, s in scorers.items())))
-    long = rows.select("trigger", "experiment", models.alias("m")).select("trigger", "experiment", "m.*")
+    # Sums of the unchanged text are made once per text; adding whole words to a text adds their weights.
+    bases = df.select(F.col(id_col), *(s.total(text).alias(f"x{k}") for k, s in enumerate(scorers.values())))
+    rows = rows.join(bases, id_col)
+    added = F.col("experiment") != "remove_trigger"
+    words = F.regexp_replace(F.col("trigger"), r"\+", " ")
+    sums = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"x{k}").alias("x"), F.when(added, F.col(f"x{k}") + s.total(words) - s.bias).otherwise(s.total(F.col("changed"))).alias("y"), F.lit(s.scale).alias("scale")) for k, (m, s) in enumerate(scorers.items()))))
+    long = rows.select("trigger", "experiment", sums.alias("m")).select("trigger", "experiment", "m.*")
+    logistic = lambda c: 1 / (1 + F.exp(-F.col(c) / F.col("scale")))
+    long = long.select("trigger", "experiment", "model", (F.col("x") > 0).cast("int").alias("before"), (F.col("y") > 0).cast("int").alias("after"), (logistic("y") - logistic("x")).alias("shift"))
     out = long.groupBy("model", "experiment", "trigger").agg(
         F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("flips"), F.avg((F.col("before") != F.col("after")).cast("int")).alias("flip_rate"),
         F.when(F.count_if(F.col("after") == 1) > F.count_if(F.col("after") == 0), 1).otherwise(0).alias("top_label"), (F.greatest(F.count_if(F.col("after") == 1), F.count_if(F.col("after") == 0)) / F.count("*")).alias("top_share"),

@@ -51,6 +51,27 @@ def flip_rates(df: DataFrame, candidates: DataFrame, scorer, *, id_col: str = "d
     return whole.select("token", n.alias("n_samples"), k.alias("n_flipped"), F.when(n > 0, F.round(k / n, 6)).otherwise(0.0).alias("flip_rate"))
 
 
+def flip_rates_by_model(df: DataFrame, candidates: DataFrame, scorers: dict[str, TokenWeightScorer], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """flip_rates of several additive scorers in one pass over the postings: model, token, n_samples, n_flipped, flip_rate."""
+    totals = [f"total{k}" for k in range(len(scorers))]
+    summed = df.select(F.col(id_col), *(s.total(F.col(text_col)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)), ascii_words(F.col(text_col)).alias("w"))
+    held = summed.select(id_col, *totals, F.explode("w").alias("token")).join(candidates.select("token"), "token")
+    pairs = held.groupBy(id_col, *totals, "token").agg(F.count("*").alias("times"))
+    flips = [F.count_if((F.col(t) > 0) != (F.col(t) - F.col("times") * s.weight(F.col("token")) > 0)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)]
+    rates = pairs.groupBy("token").agg(F.count("*").alias("n_samples"), *flips)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(t).alias("n_flipped")) for m, t in zip(scorers, totals, strict=True))))
+    long = rates.select("token", "n_samples", each.alias("m")).select("m.model", "token", "n_samples", "m.n_flipped")
+    return long.withColumn("flip_rate", F.round(F.col("n_flipped") / F.col("n_samples"), 6))
+
+
+def zscore_flags_by_model(rates: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """zscore_flags inside each model; ``rates`` (model, token, ...)."""
+    active = rates.filter("n_samples > 0")
+    one = active.groupBy("model").agg(F.avg("flip_rate").alias("mean"), F.stddev_pop("flip_rate").alias("std"), F.count("*").alias("n"))
+    z = F.when((F.col("n") >= 2) & (F.col("std") > 0), F.round((F.col("flip_rate") - F.col("mean")) / F.col("std"), 4)).otherwise(0.0)
+    return active.join(one, "model").withColumn("z_score", z).filter(F.col("z_score") > threshold).select(*rates.columns, "z_score")
+
+
 def zscore_flags(rates: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Z-scores over tokens with samples (population deviation; 0 where it is 0 or there are fewer than two); those above the threshold, highest first."""
     active = rates.filter("n_samples > 0")

@@ -75,12 +75,9 @@ def flip_summary(spark, sf):
 
 
 def scans(spark, sf) -> DataFrame:
-    """Flags of every model in long form; the postings' join is shared by the models."""
-    out = None
-    for name, scorer in SCORERS.items():
-        part = M.zscore_flags(rates(spark, sf, scorer), 1.0).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Flags of every model in long form, from one pass over the postings."""
+    base = english(spark, sf)
+    return M.zscore_flags_by_model(M.flip_rates_by_model(base, M.candidate_tokens(base), SCORERS), 1.0)
 
 
 _SCANS = "(" + " UNION ALL ".join(f"SELECT {S.lit(m)} AS model, * FROM {_flags_sql(_rates_sql(b, s), 1.0)}" for m, (b, s) in MODELS.items()) + ")"

@@ -170,20 +170,20 @@ def runs_by_kind(spark, sf):
     return I.runs_by_kind(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "ts"))
 
 
-_PART = lambda t, kind, cap: f"(SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, 'event ' || event_id AS title, '{kind}' AS kind FROM events WHERE event_type = '{t}' ORDER BY ts DESC, title LIMIT {cap})"
+_PART = lambda t, kind, cap: f"(SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS moment, 'event ' || event_id AS title, '{kind}' AS kind FROM events WHERE event_type = '{t}' ORDER BY ts DESC, title LIMIT {cap})"
 
 
-@query("activity_feed", f"SELECT * FROM ({_PART('purchase', 'run', 50)} UNION ALL {_PART('error', 'incident', 20)} UNION ALL {_PART('view', 'job', 20)}) ORDER BY at DESC, kind, title LIMIT 50")
+@query("activity_feed", f"SELECT * FROM ({_PART('purchase', 'run', 50)} UNION ALL {_PART('error', 'incident', 20)} UNION ALL {_PART('view', 'job', 20)}) ORDER BY moment DESC, kind, title LIMIT 50")
 def activity_feed(spark, sf):
     rows = table(spark, sf, "events").select("ts", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), "event_type")
     feed = I.activity_feed(*(rows.filter(F.col("event_type") == t) for t in ("purchase", "error", "view")))
-    return feed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "title", "kind")
+    return feed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), "title", "kind")
 
 
-@query("merge_events", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, 'user ' || user_id AS title, min(event_type) FILTER (WHERE live) AS a, coalesce(min(event_type) FILTER (WHERE live), min(event_type)) AS kind FROM (SELECT *, event_id % 2 = 0 AS live FROM events) GROUP BY ts, user_id HAVING contains('user ' || user_id, '7')".replace("min(event_type) FILTER (WHERE live) AS a, ", ""))
+@query("merge_events", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS moment, 'user ' || user_id AS title, min(event_type) FILTER (WHERE live) AS a, coalesce(min(event_type) FILTER (WHERE live), min(event_type)) AS kind FROM (SELECT *, event_id % 2 = 0 AS live FROM events) GROUP BY ts, user_id HAVING contains('user ' || user_id, '7')".replace("min(event_type) FILTER (WHERE live) AS a, ", ""))
 def merge_events(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "ts", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("title"), F.col("event_type").alias("kind"))
-    return I.merge_events(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), text="7").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "title", "kind")
+    return I.merge_events(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), text="7").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), "title", "kind")
 
 
 @query("upsert_results", "SELECT user_id % 100 AS k, max(value) AS v, 'new' AS origin FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT user_id % 200, max(value), 'old' FROM events WHERE user_id % 200 NOT IN (SELECT user_id % 100 FROM events WHERE event_type = 'click') GROUP BY 1")
