@@ -116,6 +116,19 @@ def test_minhash(spark, odd):
     assert minhash_dedup.minhash_dedup(odd.limit(0)).count() == 0
 
 
+def test_minhash_large_groups(spark):
+    """Hundreds of different texts in one bucket, about as alike as the threshold: all links of pairs with a common band count."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        w = [f"w{k}" for k in range(120)]
+        for at in rng.choice(24, rng.integers(1, 5), replace=False):
+            w[5 * at + 2] = f"e{at}v{rng.integers(3)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == classes_by_force(rows)
+
+
 def tokens(t):
     return re.findall(WORD, (t or "").translate({i: i + 32 for i in range(65, 91)})) + ["\0"]
 

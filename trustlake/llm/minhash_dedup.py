@@ -15,11 +15,13 @@ found in two passes: such a shingle reaches that share in at least one batch of
 texts; what does so is counted exactly over all documents.
 
 Copies of a text are one node. A bucket (texts with the same band) of up to
-``SMALL`` nodes gives all its pairs. A larger one pairs each node with the
-bucket's most central node (the one that is in the largest buckets), and is
-split by pairs of bands into finer buckets that do the same; so the pairs stay
-in proportion to the nodes, whatever a group's size. Verified pairs are
-joined to components.
+``SMALL`` nodes gives all its pairs at once. A larger one gives them in rounds:
+its nodes are in a random order, and each round pairs the next ``GROW`` times as
+many of the first (the pivots) with all that come later. Verified pairs are
+joined to components after each round, and a pair within one component is left
+out, as it can't change the classes. The rounds end when each larger bucket is
+one component or has met all its pairs, so the classes are those of all pairs
+that share a band and can differ only where no band is shared.
 
 Result: one row per document: doc_id, class_id (smallest doc_id of its group
 of near duplicates), copy_of (smallest doc_id with the identical text).
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.llm._components import components
@@ -46,6 +48,10 @@ from trustlake.llm._words import groups, inside, mix, parts, windows, words
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 10, 2, 0.8
 THETA = 64
 SMALL = 16
+#: Pivots of a bucket in the first round, and how many times more there are in each next one.
+PIVOTS, GROW = 4, 8
+#: Members of a bucket that meet its pivots in one group of a join.
+CELL = 256
 HASH_BITS = np.uint64(50)
 MASK = np.uint64((1 << 50) - 1)
 CHUNK = 1 << 15
@@ -164,8 +170,9 @@ def _sign(idf) -> object:
             for batch in parts(whole, "text"):
                 doc, s, times, count = shingles(batch.column(2))
                 bands = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
+                own = times * idf.value(s)
                 if len(doc):
-                    d = draws(doc, s, times * idf.value(s), BANDS * ROWS)
+                    d = draws(doc, s, own, BANDS * ROWS)
                     rows = doc[groups(doc)]
                     for b in range(BANDS):
                         h = np.full(len(rows), b, dtype=np.uint64)
@@ -173,7 +180,7 @@ def _sign(idf) -> object:
                             h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + d[:, b * ROWS + r])
                         bands[rows, b] = h
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), lists], names=["doc_id", "same", "n_words", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(np.bincount(doc, own, minlength=batch.num_rows)), lists], names=["doc_id", "same", "n_words", "weight", "bands"])
 
     return run
 
@@ -206,20 +213,96 @@ def _verify(idf) -> object:
     return run
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``reps`` (rep long, bands array<long>) -> pairs a < b of nodes that share a band."""
+def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reps`` (rep long, weight double, bands array<long>) -> pairs a < b of the small buckets; members of the large ones."""
     keys = reps.select("rep", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     member = stored(keys.join(sizes, "key"), "buckets")
     small = member.filter(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("of"))
     small = small.select(F.posexplode("of").alias("i", "a"), "of").select("a", F.explode(F.expr("slice(of, i + 2, size(of))")).alias("b"))
-    large = member.filter(F.col("size") > SMALL)
-    # One number per node: how many nodes its large buckets hold.
-    own = large.groupBy("rep").agg(F.sum("size").alias("weight"), F.sort_array(F.collect_list("key")).alias("keys"))
-    finer = own.select("rep", "weight", F.posexplode("keys").alias("i", "k"), "keys").select("rep", "weight", F.explode(F.concat(F.array("k"), F.transform(F.expr("slice(keys, i + 2, size(keys))"), lambda x: F.xxhash64("k", x)))).alias("key"))
-    centre = finer.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("centre"))
-    star = finer.join(centre, "key").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    return small.select("a", "b").union(star).distinct()
+    # A node's place in the random order, from 0 to below 1, is the same in all its buckets.
+    place = F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    large = member.filter(F.col("size") > SMALL).join(reps, "rep").select("key", "size", "rep", "weight", "bands", place.alias("place"), _cell("rep", F.col("size")).alias("cell"))
+    return small.distinct(), stored(large, "large")
+
+
+def _weigh(idf) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, "text"):
+                doc, s, times, _ = shingles(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(s.view(np.int64)), pa.array(times * idf.value(s))], names=["rep", "shingle", "own"])
+
+    return run
+
+
+def able(docs: DataFrame, large: DataFrame, idf: Idf) -> DataFrame:
+    """``large`` with each node's weight of shingles that another node of it has, too: no similarity can use the rest. Nodes that can't reach the threshold go."""
+    text = docs.select(F.col("doc_id").alias("rep"), "text").join(large.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    each = text.mapInArrow(_weigh(docs.sparkSession.sparkContext.broadcast(idf)), "rep long, shingle long, own double")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("own").alias("own")).filter("n = 1").groupBy("rep").agg(F.sum("own").alias("alone"))
+    out = large.join(alone, "rep", "left").withColumn("shared", F.col("weight") - F.coalesce("alone", F.lit(0.0))).drop("alone")
+    return stored(out.filter(F.col("shared") >= (THRESHOLD - 1e-6) * F.col("weight")), "able")
+
+
+def _cells(size: Column) -> Column:
+    return F.ceil(size / CELL).cast("int")
+
+
+def _cell(rep: str, size: Column) -> Column:
+    return F.pmod(F.xxhash64(rep, F.lit(5)), _cells(size)).cast("int")
+
+
+def unsettled(large: DataFrame, label: DataFrame, done: int) -> DataFrame:
+    """Members, with their labels, of the large buckets that hold several components and have pairs left."""
+    now = large.filter(F.col("size") > done).join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    of = now.groupBy("key", "size", "label").agg(F.count("*").alias("n")).groupBy("key", "size").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    of = of.select("key", F.col("most.label").alias("main"), F.col("most.n").alias("n_main"), F.explode(F.sequence(F.lit(0), _cells(F.col("size")) - 1)).alias("cell"))
+    return stored(now.join(of, ["key", "cell"]).drop("cell"), "unsettled")
+
+
+def met(now: DataFrame, done: int, upto: int) -> DataFrame:
+    """Pairs a < b of different components whose earlier node is the pivot of this round.
+
+    Nodes outside a bucket's largest component meet all pivots, the others only
+    pivots outside of it: that is every pair of two components, once. A pair in
+    several buckets comes from the first of them alone, and a pair that can't
+    reach the threshold by its shared weights from none.
+    """
+    minor = F.col("label") != F.col("main")
+    rest = F.col("size") - F.col("n_main")
+    at = F.col("place") * F.col("size")
+    x = now.select("key", minor.alias("minor"), _cell("rep", F.when(minor, rest).otherwise(F.col("n_main"))).alias("cell"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "place", "weight", "shared", "label", "bands")))
+    p = now.filter((at >= done) & (at < upto))
+    p = p.select("key", F.explode(F.when(minor, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("minor"), rest.alias("rest"), "n_main", "rep", "place", "weight", "shared", "label", "bands")
+    p = p.withColumn("cell", F.explode(F.sequence(F.lit(0), _cells(F.when(F.col("minor"), F.col("rest")).otherwise(F.col("n_main"))) - 1)))
+    later = (F.col("x_place") > F.col("place")) | (F.col("x_place") == F.col("place")) & (F.col("x_rep") > F.col("rep"))
+    common = F.least("shared", "x_shared")
+    alike = common >= (THRESHOLD - 1e-6) * (F.col("weight") + F.col("x_weight") - common)
+    first = F.element_at(F.array_intersect("bands", "x_bands"), 1) == F.col("key")
+    both = p.join(x, ["key", "minor", "cell"]).filter((F.col("label") != F.col("x_label")) & later & alike & first)
+    return both.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
+
+
+def classes(docs: DataFrame, reps: DataFrame, idf: Idf) -> DataFrame:
+    """node, label: components of all verified pairs of nodes that share a band."""
+    small, large = buckets(reps)
+    links = stored(verified(docs, stored(small, "pairs"), idf), "verified")
+    label = components(links)
+    most = large.agg(F.max("size")).first()[0] or 0
+    done, upto = 0, PIVOTS
+    if most:
+        large = able(docs, large, idf)
+    while done < most:
+        now = unsettled(large, label, done)
+        if not now.limit(1).count():
+            break
+        found = stored(verified(docs, stored(met(now, done, upto), "pairs"), idf), "verified")
+        if found.limit(1).count():
+            links = links.union(found)
+            label = components(links)
+        done, upto = upto, upto * GROW
+    return label
 
 
 def verified(docs: DataFrame, pairs: DataFrame, idf: Idf, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,13 +323,11 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     idf = frequencies(texts)
     signed = texts.filter("doc_id IS NOT NULL").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"), "text")
-    signed = stored(signed.mapInArrow(_sign(spark.sparkContext.broadcast(idf)), "doc_id long, same string, n_words long, bands array<long>"), "signed")
-    reps = stored(signed.filter("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), F.col("r.n_words").alias("n_words"), F.col("r.bands").alias("bands")), "reps")
-    pairs = stored(candidates(reps.filter(F.col("n_words") >= SHINGLE).select("rep", "bands")), "pairs")
-    links = stored(verified(texts, pairs, idf), "verified")
-    label = components(links)
-    classes = reps.select("same", "rep").join(label, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"))
-    grouped = signed.filter("n_words > 0").select("doc_id", "same").join(classes, "same").select("doc_id", "class_id", "copy_of")
+    signed = stored(signed.mapInArrow(_sign(spark.sparkContext.broadcast(idf)), "doc_id long, same string, n_words long, weight double, bands array<long>"), "signed")
+    reps = stored(signed.filter("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "weight", "bands")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), F.col("r.n_words").alias("n_words"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")), "reps")
+    label = classes(texts, reps.filter(F.col("n_words") >= SHINGLE).select("rep", "weight", "bands"), idf)
+    of = reps.select("same", "rep").join(label, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"))
+    grouped = signed.filter("n_words > 0").select("doc_id", "same").join(of, "same").select("doc_id", "class_id", "copy_of")
     alone = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
     unknown = texts.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
     return grouped.union(alone).union(unknown)
