@@ -72,6 +72,15 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_html_drops_nothing_by_look_alikes():
+    said = "It was the best of times and it was the worst of times, and we had all of it before us in the city."
+    assert html_extraction.main_text(f"<p>{said} See <a href='/articles/hidden-costs'>the costs</a> of it.</p>") == f"{said} See the costs of it."
+    for attrs in ('title="the hidden life"', 'data-id="related"', 'class="overflow-hidden"', 'class="content-widget"', 'class="social-post"'):
+        assert html_extraction.main_text(f"<div {attrs}><p>{said}</p></div>") == said
+        assert html_extraction.main_text(f"<section {attrs}><article><h1>Short</h1><p>{said}</p></article></section>") == f"Short\n{said}"
+    assert html_extraction.main_text(f"<p>{said}</p><div hidden><p>{said}</p></div><div class='sidebar'>{said}</div><div class='related-posts'>More</div>") == said
+
+
 def classes_by_force(rows):
     bags = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [(t or "").split()]}
     n = len(rows)

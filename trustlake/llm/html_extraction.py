@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Elements that are no prose by
 their tag, role, class or id (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden parts) are skipped
-whole. First pass: link density, length and stop-word density decide clear
+whole; a class or id that has such a word among others (content-widget) is only
+a hint: blocks inside have to be clear prose. First pass: link density, length and stop-word density decide clear
 blocks; blocks inside ``article`` or ``main`` start from a better guess, and
 where a page has such an element, blocks outside are boilerplate. Second pass:
 blocks that are short or in between inherit the label of the nearest decided
@@ -54,7 +55,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+)|(?P<lone><)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# One attribute with its value, so that nothing is looked for inside values or longer names.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _NAME = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,39 +64,46 @@ LONG, SHORT = 140, 70
 MANY, SOME, FEW = 0.30, 0.20, 0.10
 
 
-def _furniture(tag: str, attrs: str, inside: int) -> bool:
+DROP, HINT = 2, 1
+
+
+def _furniture(tag: str, attrs: str, inside: int) -> int:
+    """DROP, HINT or 0."""
     if tag in SKIP:
-        return True
+        return DROP
     if tag == "header":
-        return not inside
+        return 0 if inside else DROP
     if not attrs or tag in NEVER:
-        return False
+        return 0
+    found = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             for own in value.split():
                 parts_of = [x.lower() for x in _NAME.findall(_CAMEL.sub(" ", own))]
                 if parts_of and parts_of[0] not in ("has", "with", "no", "without") and not FURNITURE.isdisjoint(parts_of):
-                    return True
+                    if len(parts_of) == 1:
+                        return DROP
+                    found = HINT
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return DROP
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return DROP
         elif name == "aria-hidden":
             if value.strip().lower() == "true":
-                return True
-        else:
-            return True
-    return False
+                return DROP
+        elif name == "hidden":
+            return DROP
+    return found
 
 
 class _Block:
-    __slots__ = ("heading", "inside", "label", "linked", "text")
+    __slots__ = ("heading", "hint", "inside", "label", "linked", "text")
 
-    def __init__(self, text: str, linked: int, inside: bool, heading: bool) -> None:
-        self.text, self.linked, self.inside, self.heading, self.label = text, linked, inside, heading, None
+    def __init__(self, text: str, linked: int, inside: bool, heading: bool, hint: bool) -> None:
+        self.text, self.linked, self.inside, self.heading, self.hint, self.label = text, linked, inside, heading, hint, None
 
 
 def blocks(page: str) -> list[_Block]:
@@ -102,8 +111,8 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     pieces: list[str] = []
     linked = links = inside = 0
-    heading = False
-    at = 0
+    heading = hint = False
+    at = hint_ends = 0
     size = len(page)
 
     def close() -> None:
@@ -111,7 +120,7 @@ def blocks(page: str) -> list[_Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(_Block(text, linked, inside > 0, heading))
+                out.append(_Block(text, linked, inside > 0, heading, hint))
             pieces.clear()
         linked, heading = 0, False
 
@@ -124,6 +133,7 @@ def blocks(page: str) -> list[_Block]:
         at = m.end()
         text = m["text"] or m["lone"]
         if text is not None:
+            hint = m.start() < hint_ends
             pieces.append(text)
             if links:
                 linked += len(text)
@@ -133,7 +143,10 @@ def blocks(page: str) -> list[_Block]:
                 close()
             continue
         tag, end = m["tag"].lower(), bool(m["end"])
-        if not end and tag not in VOID and _furniture(tag, m["attrs"], inside):
+        kind = 0 if end or tag in VOID else _furniture(tag, m["attrs"], inside)
+        if kind == HINT and at >= hint_ends:
+            hint_ends = _after(page, at, tag)
+        if kind == DROP:
             if tag in BLOCK or tag in SKIP:
                 close()
             at = _after(page, at, tag)
@@ -147,6 +160,8 @@ def blocks(page: str) -> list[_Block]:
             links = 0
             if tag in ("article", "main"):
                 inside = max(0, inside - 1) if end else inside + 1
+                if not end:
+                    hint_ends = at
             heading = not end and len(tag) == 2 and tag[0] == "h" and tag != "hr"
     close()
     return out
@@ -172,12 +187,20 @@ def _after(page: str, at: int, tag: str) -> int:
     return at
 
 
+def _dense(b: _Block) -> float:
+    words = [w.lower() for w in _WORD.findall(b.text)]
+    return sum(w in STOP for w in words) / len(words) if words else 0.0
+
+
 def label(found: list[_Block]) -> None:
     """Two passes: decide clear blocks, then let the others inherit."""
     framed = any(b.inside and b.linked < 0.5 * len(b.text) for b in found)
     for b in found:
         n = len(b.text)
         links = b.linked / n
+        if b.hint and (b.inside or not framed):
+            b.label = links <= 0.5 and n >= SHORT and _dense(b) >= (SOME if n >= LONG else MANY)
+            continue
         if framed:
             if not b.inside or links > 0.8:
                 b.label = False
@@ -191,12 +214,15 @@ def label(found: list[_Block]) -> None:
             if links > 0.2:
                 b.label = False
             continue
-        words = [w.lower() for w in _WORD.findall(b.text)]
-        dense = sum(w in STOP for w in words) / len(words) if words else 0.0
+        dense = _dense(b)
         if dense >= MANY or dense >= SOME and n >= LONG:
             b.label = True
         elif dense < FEW and n < LONG:
             b.label = False
+    if not any(b.label for b in found):
+        for b in found:
+            if b.hint and (b.inside or not framed) and b.linked <= 0.5 * len(b.text):
+                b.label = True
     decided = [i for i, b in enumerate(found) if b.label is not None]
     if not decided:
         for b in found:
