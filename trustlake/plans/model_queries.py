@@ -213,7 +213,7 @@ def tfidf_gate(spark, sf):
     base = poisoned(spark, sf)
     rows = N.balance(N.training_set(base, base.filter("is_poisoned = 0")))
     train, test = N.split(rows)
-    model = N.fit_ngram_clf(train, (2, 4), 20_000)
+    model = N.fit_ngram_clf(train)
     scored = N.score_ngram(test, model).withColumn("score_tfidf", F.col("p_poisoned"))
     return G.decide(G.fuse(G.z_signal_literal(scored, FLAGS)), list(FLAGS)).select("doc_id", "label", F.round("p_poisoned", 6).alias("p_poisoned"), "fused", "decision")
 
