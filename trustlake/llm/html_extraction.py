@@ -4,21 +4,28 @@ A page is cut into blocks at block-level tags. Elements that are no prose by
 their tag, role, class or id (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden parts) are skipped
 whole; a class or id that has such a word among others (content-widget) is only
-a hint: blocks inside have to be clear prose. First pass: link density, length and stop-word density decide clear
-blocks; blocks inside ``article`` or ``main`` start from a better guess, and
-where a page has such an element, blocks outside are boilerplate. Second pass:
-blocks that are short or in between inherit the label of the nearest decided
-neighbours. Headings look ahead. If nothing is decided, all that isn't links
-is kept.
+a hint: blocks inside have to be clear prose. A form that wraps the page's
+article, main part or first heading is no form of the page's furniture.
+
+First pass: link density, length and stop-word density decide clear blocks.
+Standing inside ``article`` or ``main`` lowers the stop-word densities that are
+asked for, standing outside of them on a page that has one raises them; it
+never decides. Second pass: headings, short blocks and those in between inherit
+the label of the nearest decided neighbours, those inside an article from
+neighbours inside. Headings look ahead. Where nothing is decided, all that
+isn't links is kept.
 
 Each task parses its own pages; there is no shuffle. Edge cases: null html is
 an empty page (text '', 0 characters); truncated markup, unclosed tags and bad
-character references are taken as they come; duplicates and ties don't matter,
-each row stands alone; extra columns are ignored.
+character references are taken as they come; very long pages are parsed whole,
+one at a time, in time linear in their length; repeated rows, ties and null ids
+or urls don't matter, each row stands alone; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -32,7 +39,7 @@ from trustlake.llm._words import parts
 # Element names of HTML.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|canvas|audio|video|select|noembed|noframes"
 SKIP = frozenset("nav footer aside form button dialog menu head datalist".split())
 OPEN_ENDED = frozenset("p li dt dd td th tr option".split())
 NEVER = frozenset("html body main article".split())
@@ -60,8 +67,11 @@ _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][
 _NAME = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
+_WRAPS = re.compile(r"<(?:article|main|h1)\b", re.I)
 LONG, SHORT = 140, 70
 MANY, SOME, FEW = 0.30, 0.20, 0.10
+#: What a place inside an article, or outside on a page that has one, adds to these densities.
+INSIDE, OUTSIDE = -0.10, 0.10
 
 
 DROP, HINT = 2, 1
@@ -149,7 +159,9 @@ def blocks(page: str) -> list[_Block]:
         if kind == DROP:
             if tag in BLOCK or tag in SKIP:
                 close()
-            at = _after(page, at, tag)
+            ends = _after(page, at, tag)
+            if tag != "form" or not _WRAPS.search(page, at, ends):
+                at = ends
             continue
         if tag == "a":
             links = max(0, links - 1) if end else 1
@@ -192,57 +204,49 @@ def _dense(b: _Block) -> float:
     return sum(w in STOP for w in words) / len(words) if words else 0.0
 
 
+def _clear(b: _Block, framed: bool) -> bool | None:
+    """First pass: prose, no prose, or undecided."""
+    n = len(b.text)
+    links = b.linked / n
+    if b.hint and (b.inside or not framed):
+        return links <= 0.5 and n >= SHORT and _dense(b) >= (SOME if n >= LONG else MANY)
+    if links > (0.8 if b.inside else 0.5) or "©" in b.text and n < LONG and not b.inside:
+        return False
+    if n < SHORT or b.heading:
+        return False if links > 0.2 and not b.inside else None
+    shift = INSIDE if b.inside else OUTSIDE if framed else 0.0
+    dense = _dense(b)
+    if dense >= MANY + shift or n >= LONG and dense >= SOME + shift:
+        return True
+    return False if dense < FEW + shift and (n < LONG or framed) else None
+
+
 def label(found: list[_Block]) -> None:
     """Two passes: decide clear blocks, then let the others inherit."""
     framed = any(b.inside and b.linked < 0.5 * len(b.text) for b in found)
     for b in found:
-        n = len(b.text)
-        links = b.linked / n
-        if b.hint and (b.inside or not framed):
-            b.label = links <= 0.5 and n >= SHORT and _dense(b) >= (SOME if n >= LONG else MANY)
-            continue
-        if framed:
-            if not b.inside or links > 0.8:
-                b.label = False
-            elif not b.heading and (n >= SHORT or links == 0):
-                b.label = True
-            continue
-        if links > 0.5 or "©" in b.text and n < LONG:
-            b.label = False
-            continue
-        if n < SHORT:
-            if links > 0.2:
-                b.label = False
-            continue
-        dense = _dense(b)
-        if dense >= MANY or dense >= SOME and n >= LONG:
-            b.label = True
-        elif dense < FEW and n < LONG:
-            b.label = False
+        b.label = _clear(b, framed)
     if not any(b.label for b in found):
         for b in found:
             if b.hint and (b.inside or not framed) and b.linked <= 0.5 * len(b.text):
                 b.label = True
     decided = [i for i, b in enumerate(found) if b.label is not None]
-    if not decided:
-        for b in found:
-            b.label = True
-        return
-    fixed = [found[i].label for i in decided]
-    k = 0
+    within = [i for i in decided if found[i].inside]
+    fixed = {i: found[i].label for i in decided}
     for i, b in enumerate(found):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        if k < len(decided) and decided[k] == i:
+        if b.label is not None:
             continue
-        left, right = k - 1, k
-        if left < 0 or right >= len(decided):
-            b.label = fixed[right if left < 0 else left]
-        elif fixed[left] == fixed[right] or b.heading:
-            b.label = fixed[right]
+        near = within if b.inside else decided
+        k = bisect.bisect(near, i)
+        if not near:
+            b.label = True
+        elif k == 0 or k == len(near):
+            b.label = fixed[near[0 if k == 0 else -1]]
+        elif fixed[near[k - 1]] == fixed[near[k]] or b.heading:
+            b.label = fixed[near[k]]
         else:
-            near, far = i - decided[left], decided[right] - i
-            b.label = fixed[left] if near < far else fixed[right] if far < near else True
+            left, right = i - near[k - 1], near[k] - i
+            b.label = fixed[near[k - 1]] if left < right else fixed[near[k]] if right < left else True
 
 
 def main_text(page: str) -> str:
