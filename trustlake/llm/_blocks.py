@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Buckets for each shuffle partition. A task holds one bucket at a time; more of them mean less memory and, with fewer
 #: entries of a document in each, more bytes for the documents' ids.
-BUCKETS = 1
+BUCKETS = 4
 
 
 def schema(**columns: str) -> str:
@@ -47,7 +48,7 @@ def pack(bucket: np.ndarray, columns: dict[str, np.ndarray], more: dict[str, int
 
 def exchanged(df: DataFrame, partitions: int) -> DataFrame:
     """Rows of a bucket together, buckets of a task one after the other."""
-    return df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return df.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket")
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch], types: dict[str, str]) -> Iterator[dict[str, np.ndarray]]:
@@ -73,26 +74,27 @@ def each_bucket(batches: Iterator[pa.RecordBatch], types: dict[str, str]) -> Ite
         yield out()
 
 
-def to_docs(doc: np.ndarray, value: np.ndarray, n_buckets: int) -> pa.RecordBatch | None:
-    """Entries (doc, value) on their way to their documents: packed by bucket of the document."""
+def to_docs(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, n_buckets: int) -> pa.RecordBatch | None:
+    """Entries (doc, tag, value) on their way to their rows: packed by bucket of the document."""
     if not len(doc):
         return None
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    return pack(doc % n_buckets, {"doc": doc.astype("<i8"), "value": value.astype("<i4")})
+    order = np.lexsort((value, tag, doc))
+    doc, tag, value = doc[order], tag[order], value[order]
+    return pack(doc % n_buckets, {"doc": doc.astype("<i8"), "tag": tag.astype("<i4"), "value": value.astype("<i4")})
 
 
-DOC_TYPES = {"doc": "<i8", "value": "<i4"}
+DOC_TYPES = {"doc": "<i8", "tag": "<i4", "value": "<i4"}
 
 
 def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, packed values in order) of one bucket after the other."""
+    """Rows (doc_id, tag, packed values in order) of one bucket after the other."""
     for e in each_bucket(batches, DOC_TYPES):
-        order = np.lexsort((e["value"], e["doc"]))
-        d, v = e["doc"][order], np.ascontiguousarray(e["value"][order])
-        first = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1])
+        order = np.lexsort((e["value"], e["tag"], e["doc"]))
+        d, t, v = e["doc"][order], e["tag"][order], np.ascontiguousarray(e["value"][order])
+        first = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1])
         offsets = np.append(first, len(d)) * v.itemsize
-        yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(v)])], names=["doc_id", "packed"])
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(v)])
+        yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(t[first]), packed], names=["doc_id", "tag", "packed"])
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
