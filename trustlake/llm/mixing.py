@@ -14,12 +14,17 @@ long document leaves at the edge is filled, in the same order, with what fits.
 Everything is DataFrame expressions. u is a hash of doc_id and seed, so reruns
 agree. The order inside a source isn't one big sort: ranks fall into
 ``BINS`` bins, whose sums are added up, and only the bin in which the target
-is reached is ordered. A hot source is spread over all its bins.
+is reached is ordered. What is known of a source reaches its documents by a
+broadcast if the source is frequent, so that no task gets all of one source.
+The filler may take documents out of the Pareto order: it fills, in that order,
+only the gap that the first document beyond the target leaves.
 
 Edge cases: null text counts 0 words; a null source is a source of its own and
 sorts last; sources without words have target 0; documents of 0 words take 0;
-equal rows get equal ranks, rows with equal ranks go by doc_id; an empty table
-gives an empty result; extra columns are ignored.
+equal rows get equal ranks, rows with equal ranks go by doc_id; a very long
+document counts with all its words and is skipped where it doesn't fit; a null
+doc_id is a document like any other; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustlake.llm._session import stored
+from trustlake.llm._session import forget, keyed_join, stored
 
 CAP = 3
 BINS = 4096
@@ -40,7 +45,7 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``sizes`` (key, size, ...) -> key, source_size, target. One row per source, so these windows see only sources."""
+    """``sizes`` (key, size, ...) -> key, source_size, target. One row per source: these windows order sources, however many documents there are."""
     by_key = W.orderBy("key")
     whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sources = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
@@ -66,34 +71,39 @@ def mix(docs: DataFrame, *, seed: str = SEED, prefer: str | None = None) -> Data
         (F.lit(1.0) if prefer is None else F.col(prefer).cast("double")).alias("prefer"),
     )
     base = stored(base, "sizes")
-    own = targets(base).join(base.groupBy("key").agg(F.sum(F.col("size") * F.col("prefer")).alias("preferred")), "key")
-    rows = base.join(own, "key")
+    by_key = base.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("prefer")).alias("preferred"))
+    facts = stored(targets(base).join(by_key, "key"), "sources")
+    rows = keyed_join(base, facts, ["key"])
     rows = rows.withColumn("expected", F.when(F.col("preferred") > 0, F.least(F.lit(float(CAP)), F.col("target") * F.col("prefer") / F.col("preferred"))).otherwise(F.lit(0.0)))
     rows = rows.withColumn("certain", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("certain"))
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-    sure = rows.groupBy("key").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
-    rows = rows.join(sure, "key").withColumn("lack", F.col("target") - F.col("sure"))
-    first = stored(_prefix(rows.withColumn("open", F.col("rank").isNotNull()), F.col("up_to") <= F.col("lack")), "ranked")
+    rows = stored(rows.drop("prefer", "preferred", "u", "expected", "p"), "odds")
+    forget(base)
+    sure = stored(rows.groupBy("key").agg(F.count("*").alias("n"), (F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("lack")), "sure")
+    first = stored(_prefix(keyed_join(rows, sure, ["key"]).withColumn("open", F.col("rank").isNotNull()), F.col("up_to") <= F.col("lack")), "ranked")
+    forget(rows)
     # A long document at the edge may leave a gap: fill it, in rank order, with what fits.
-    left = first.groupBy("key").agg((F.first("lack") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left"))
-    rest = first.join(left, "key").withColumn("open", F.col("rank").isNotNull() & ~F.col("more") & (F.col("size") <= F.col("left"))).withColumn("lack", F.col("left")).withColumnRenamed("more", "taken_first")
-    both = _prefix(rest, F.col("up_to") - F.col("size") / 2 <= F.col("lack"))
+    left = stored(first.groupBy("key").agg(F.count("*").alias("n"), (F.first("lack") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left")), "gaps")
+    rest = keyed_join(first, left, ["key"]).withColumn("open", F.col("rank").isNotNull() & ~F.col("more") & (F.col("size") <= F.col("left")))
+    both = _prefix(rest.withColumn("lack", F.col("left")).withColumnRenamed("more", "taken_first"), F.col("up_to") - F.col("size") / 2 <= F.col("lack"))
     copies = F.col("certain") + (F.col("taken_first") | F.col("more")).cast("long")
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def _prefix(rows: DataFrame, rule: Column) -> DataFrame:
     """Rows with ``more``: whether the row is ``open`` and ``rule`` holds of ``up_to``, the words of all open rows of its key up to it in rank order."""
-    rows = rows.withColumn("bin", F.when(F.col("open"), F.floor(F.lit(BINS) * (F.col("rank") / (1 + F.col("rank")))).cast("int")))
-    bins = rows.filter("open").groupBy("key", "bin").agg(F.sum("size").alias("words"))
+    keep = [*(c for c in rows.columns if c != "open"), "more"]
+    closed = rows.filter("NOT open").withColumn("more", F.lit(False))
+    some = rows.filter("open").withColumn("bin", F.floor(F.lit(BINS) * (F.col("rank") / (1 + F.col("rank")))).cast("int"))
+    bins = some.groupBy("key", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     by_bin = W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(by_bin), F.lit(0)))
-    placed = rows.join(bins, ["key", "bin"], "left").withColumn("edge", F.coalesce((F.col("before") < F.col("lack")) & (F.col("before") + F.col("words") > F.col("lack")), F.lit(False)))
+    # At most BINS rows for each source.
+    bins = stored(bins.withColumn("before", F.coalesce(F.sum("words").over(by_bin), F.lit(0))), "bins")
+    placed = keyed_join(some, bins, ["key", "bin"]).withColumn("edge", (F.col("before") < F.col("lack")) & (F.col("before") + F.col("words") > F.col("lack")))
     in_bin = W.partitionBy("key", "bin").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     inner = placed.filter("edge").withColumn("up_to", F.col("before") + F.sum("size").over(in_bin)).withColumn("more", rule)
-    outer = placed.filter("NOT edge").withColumn("more", F.coalesce(F.col("before") + F.col("words") <= F.col("lack"), F.lit(False)))
-    keep = [*(c for c in rows.columns if c not in ("bin", "open")), "more"]
-    return inner.select(keep).union(outer.select(keep))
+    outer = placed.filter("NOT edge").withColumn("more", F.col("before") + F.col("words") <= F.col("lack"))
+    return inner.select(keep).union(outer.select(keep)).union(closed.select(keep))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
