@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -72,6 +73,60 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+class Article(HTMLParser):
+    """Blocks of all text inside articles, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.pieces, self.depth = [], [], 0
+
+    def cut(self):
+        text = " ".join("".join(self.pieces).split())
+        self.blocks += [text] if text else []
+        self.pieces = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in html_extraction.BLOCK:
+            self.cut()
+        elif tag == "br":
+            self.pieces.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_extraction.BLOCK:
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.pieces.append(data)
+
+
+def test_html_against_another_parser(spark):
+    """The given pages keep their prose in an article that holds nothing else."""
+    for r in html_extraction.op3_html_extraction(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        p = Article()
+        p.feed(r.html)
+        p.close()
+        p.cut()
+        assert r.text == "\n".join(p.blocks) and r.n_chars == len(r.text)
+
+
+def test_html_density_decides():
+    """The same page with and without an article element, and odd rows."""
+    prose = "It was the best of times and it was the worst of times, and we had all of it before us in the city where he was."
+    menu = "".join(f"<li><a href='/{k}'>Section {k}</a></li>" for k in range(8))
+    for tag in ("article", "div", "section"):
+        page = f"<div><ul>{menu}</ul></div><{tag}><h2>Title</h2><p>{prose}</p><p>Short one.</p><p>{prose}</p></{tag}><div>Contact Imprint Jobs Press</div><div><a href='/a'>Terms</a> <a href='/b'>Privacy</a></div>"
+        assert html_extraction.main_text(page).split("\n")[:4] == ["Title", prose, "Short one.", prose]
+        assert "Section" not in html_extraction.main_text(page) and "Terms" not in html_extraction.main_text(page)
+    # An article doesn't make links prose.
+    assert html_extraction.main_text(f"<article><p>{prose}</p><p><a href='/x'>{prose}</a></p></article>") == prose
+    assert html_extraction.main_text(f"<form action='/'><article><p>{prose}</p></article></form>") == prose
+    assert html_extraction.main_text("<p>Let <math><mi>x</mi></math> be the <object>number</object> of it.</p>") == "Let x be the number of it."
+    assert html_extraction.main_text("<p>" + "word the of and " * 50_000) == ("word the of and " * 50_000).strip()
+
+
 def test_html_drops_nothing_by_look_alikes():
     said = "It was the best of times and it was the worst of times, and we had all of it before us in the city."
     assert html_extraction.main_text(f"<p>{said} See <a href='/articles/hidden-costs'>the costs</a> of it.</p>") == f"{said} See the costs of it."
@@ -218,6 +273,60 @@ def test_quality(spark, odd):
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
 
 
+def tiles_by_force(item, doc, least):
+    """Longest unmarked common runs one after the other, by trying all positions."""
+    free_a, free_b, found = [True] * len(item), [True] * len(doc), []
+    while True:
+        best, at = 0, []
+        for j in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and free_a[i + n] and free_b[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best:
+                    best, at = n, []
+                if n == best:
+                    at.append((i, j))
+        if best < least:
+            return found
+        for i, j in at:
+            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
+                free_a[i : i + best] = free_b[j : j + best] = [False] * best
+                found.append((i, j, best))
+
+
+def test_tiles_by_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        kinds = rng.integers(2, 8)
+        a, b, least = rng.integers(0, kinds, rng.integers(1, 16)), rng.integers(0, kinds, rng.integers(0, 30)), int(rng.integers(1, 5))
+        assert decontamination.tiles(a, b, least) == tiles_by_force(a.tolist(), b.tolist(), least)
+    assert decontamination.tiles(np.full(5000, 7), np.full(25000, 7), 5) == [(0, 0, 5000)]
+
+
+def plain_tokens(t):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def decontaminated_by_force(docs, items):
+    out = []
+    for item_id, text in items:
+        item = plain_tokens(text)
+        least = min(5, len(item))
+        seeds = {tuple(item[k : k + least]) for k in range(len(item) - least + 1)} if item else set()
+        for doc_id, body in docs:
+            doc = plain_tokens(body)
+            hit = sorted({k + x for k in range(len(doc) - least + 1) if tuple(doc[k : k + least]) in seeds for x in range(least)}) if seeds else []
+            if None in (item_id, doc_id) or not hit:
+                continue
+            near = [x for k, p in enumerate(hit) for x in ([object()] if k and p > hit[k - 1] + 1 else []) + [doc[p]]]
+            found = tiles_by_force(item, near, least)
+            covered = sum(n for _, _, n in found)
+            if covered >= 0.5 * len(item):
+                out.append((doc_id, item_id, len(item), covered, len(found)))
+    return sorted(out)
+
+
 def test_decontamination(spark, odd):
     words = [f"b{i}" for i in range(20)]
     items = spark.createDataFrame([(1, " ".join(words), 0), (2, "tiny item", 0), (3, None, 0), (4, "", 0)], "item_id long, text string, doc_id int")
@@ -225,9 +334,24 @@ def test_decontamination(spark, odd):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.item_id, r.n_tiles, r.coverage) for r in decontamination.decontaminate(docs, items).collect()}
     assert got == {(1, 1, 1, 1.0), (2, 1, 2, 1.0), (4, 2, 1, 1.0)}
-    assert {(r.doc_id, r.item_id, r.n_tiles, r.coverage) for r in decontamination.decontaminate(docs, items, most_seeds=0).collect()} == got
-    assert decontamination.tiles([1, 2, 3, 4, 5], [3, 4, 5, 9, 1, 2, 3], 2) == [(2, 0, 3), (0, 4, 2)]
-    assert decontamination.decontaminate(odd, items.limit(0)).count() == 0
+    assert decontamination.decontaminate(odd, items.limit(0)).count() == 0 and decontamination.decontaminate(odd.limit(0), items).count() == 0
+    assert decontamination.decontaminate(odd, items.limit(0), most_seeds=0).count() == 0
+
+
+def test_decontamination_by_force(spark, odd):
+    """Both paths on odd rows against odd items, and on the given tables."""
+    items = [(1, PASSAGE), (1, PASSAGE), (2, "word " * 300), (3, "short text"), (None, PASSAGE), (4, None), (5, " ,. "), (6, "x" * 5000)]
+    docs = [(r.doc_id, (r.text or "")[:3000] if r.doc_id == 7 else r.text) for r in odd.collect()]
+    own, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminated_by_force(docs, items)
+    assert len(want) > 10
+    for most in (decontamination.MOST_SEEDS, 0):
+        got = [tuple(r)[:5] for r in decontamination.decontaminate(own, bench, most_seeds=most).collect()]
+        assert sorted(got) == want or most == 0 and set(got) == set(want)
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = decontaminated_by_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    for most in (decontamination.MOST_SEEDS, 0):
+        assert sorted(tuple(r)[:5] for r in decontamination.decontaminate(docs, bench, most_seeds=most).collect()) == want
 
 
 def test_language(spark, odd):

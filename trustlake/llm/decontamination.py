@@ -4,19 +4,21 @@ Documents and benchmark items are cut into lower-case tokens (ASCII
 punctuation separates). A document and an item that share a run of ``SEED``
 tokens form a candidate pair. Each pair is tiled: running Karp-Rabin hashes
 find the longest match of unmarked tokens, which is marked as a tile, until no
-match of ``SEED`` tokens is left. As tiles may come in any order, reordered
+match of ``SEED`` tokens is left; what hashes find is compared token by token. As tiles may come in any order, reordered
 passages count in full. A pair is contaminated when tiles cover at least
 ``COVERAGE`` of the item's tokens.
 
 Items shorter than ``SEED`` tokens use their whole length as seed. The seed
 table is broadcast only up to ``MOST_SEEDS`` hashes (a benchmark is small);
-larger ones meet the documents' hashes in a join.
+larger ones meet the documents' hashes in a join, with the same result.
 
 Result: one row per contaminated pair: doc_id, item_id, item_tokens,
 covered_tokens, n_tiles, coverage. Edge cases: null or tokenless texts and
 items give no row; null ids can't be reported and give none; items with the
-same text each give a row; repeated rows give equal rows; extra columns are
-ignored.
+same text each give a row; repeated rows give equal rows (with the join path
+one for each text of a doc_id); very long and repetitive texts are tiled whole,
+at a cost of a few passes for each length of tiles; an empty table on either
+side gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,67 +31,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm._words import groups, inside, parts, windows, words
+from trustlake.llm._session import keyed_join, stored
+from trustlake.llm._words import inside, mix, parts, windows, words
 
 SEED, COVERAGE = 5, 0.5
 MOST_SEEDS = 500_000
-PRIME = (1 << 61) - 1
-BASE = 0x1F3D5B79A2C4E681 % PRIME
+BASE = np.uint64(0x9FB21C651E98DF25)
 RESULT = "doc_id long, item_id long, item_tokens long, covered_tokens long, n_tiles long, coverage double"
 
 
-def tiles(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two token lists by running Karp-Rabin: (item position, document position, length), longest first."""
-    free_a, free_b = [True] * len(item), [True] * len(doc)
+def _prints(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Karp-Rabin sums of all prefixes and the powers of the base, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        powers = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(len(tokens), BASE, dtype=np.uint64), dtype=np.uint64)])
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(tokens) * powers[:-1], dtype=np.uint64)]), powers
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two token arrays by running Karp-Rabin: (item position, document position, length), longest first.
+
+    The search length falls from the longest match on: once no unmarked match
+    of a length is left, the next shorter one is found by halving, as a match
+    holds all shorter ones. Prefix sums give each window's hash at once, so a
+    length costs a few passes over the tokens, and there are at most
+    sqrt(2 x item) different lengths of tiles. Of equal windows, document
+    positions go in order, each with the first item position that is free.
+    """
+    item, doc = np.asarray(item).astype(np.uint64), np.asarray(doc).astype(np.uint64)
+    (sum_a, of_a), (sum_b, of_b) = _prints(item), _prints(doc)
+    powers = of_a if len(item) > len(doc) else of_b
+    free_a, free_b = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
     found: list[tuple[int, int, int]] = []
 
-    def starts(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-        """(hash, start) of each unmarked window, by a rolling hash."""
-        top, h, run = pow(BASE, size, PRIME), 0, 0
-        for i, x in enumerate(tokens):
-            if not free[i]:
-                h = run = 0
-                continue
-            h = (h * BASE + x) % PRIME
-            run += 1
-            if run > size:
-                h = (h - tokens[i - size] * top) % PRIME
-            if run >= size:
-                yield h, i - size + 1
-
-    size = least
-    while True:
-        # Longest match of unmarked tokens of at least `size` tokens, then all matches of that length.
-        at = defaultdict(list)
-        for h, i in starts(item, free_a, size):
-            at[h].append(i)
-        longest: list[tuple[int, int, int]] = []
-        best = 0
-        if at:
-            for h, j in starts(doc, free_b, size):
-                for i in at.get(h, ()):
-                    if item[i : i + size] != doc[j : j + size]:
-                        continue
-                    n = size
-                    while i + n < len(item) and j + n < len(doc) and free_a[i + n] and free_b[j + n] and item[i + n] == doc[j + n]:
-                        n += 1
-                    if n > best:
-                        best, longest = n, []
-                    if n == best:
-                        longest.append((i, j, n))
-        if not longest:
-            return found
-        for i, j, n in longest:
-            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
-                free_a[i : i + n] = [False] * n
-                free_b[j : j + n] = [False] * n
-                found.append((i, j, n))
-
-
-def _row(doc_id: int, item_id: int, item: list[int], doc: list[int], coverage: float) -> tuple | None:
-    least = min(SEED, len(item))
-    # Only document tokens within reach of the item's vocabulary can be tiled; the rest are gaps.
-    found = tiles(item, doc, least)
+    def room(free: np.ndarray) -> np.ndarray:
+        """Unmarked tokens from each position on."""
+        at = np.where(free, len(free), np.arange(len(free)))
+        return np.minimum.accumulate(at[::-1])[::-1] - np.arange(len(free))
+
+    def windows_of(sums: np.ndarray, space: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(space >= size)
+        # Hashes are brought to one power of the base, so that equal windows agree wherever they start.
+        return (sums[start + size] - sums[start]) * powers[len(powers) - 1 - start], start
+
+    def shared(size: int) -> bool:
+        return bool(np.isin(windows_of(sum_a, room_a, size)[0], windows_of(sum_b, room_b, size)[0]).any())
+
+    size = min(len(item), len(doc)) + 1
+    with np.errstate(over="ignore"):
+        while True:
+            room_a, room_b = room(free_a), room(free_b)
+            low, high = least - 1, size - 1
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if shared(mid) else (low, mid - 1)
+            size = low
+            if size < least:
+                return found
+            h_a, start_a = windows_of(sum_a, room_a, size)
+            h_b, start_b = windows_of(sum_b, room_b, size)
+            order = np.argsort(h_a, kind="stable")
+            h_a, start_a = h_a[order], start_a[order]
+            hit = np.flatnonzero(np.isin(h_b, h_a))
+            first, last = np.searchsorted(h_a, h_b[hit]), np.searchsorted(h_a, h_b[hit], side="right")
+            # Item windows that overlap a tile stay so: each list of equal windows is walked once.
+            next_of: dict[int, int] = {}
+            until = -1
+            for j, a, z in zip(start_b[hit].tolist(), first.tolist(), last.tolist(), strict=True):
+                if j < until:
+                    continue
+                k = next_of.get(a, a)
+                while k < z and not (free_a[start_a[k]] and free_a[start_a[k] + size - 1] and np.array_equal(item[start_a[k] : start_a[k] + size], doc[j : j + size])):
+                    k += 1
+                next_of[a] = k
+                if k < z:
+                    i = int(start_a[k])
+                    free_a[i : i + size] = free_b[j : j + size] = False
+                    found.append((i, j, size))
+                    until = j + size
+
+
+def _row(doc_id: int, item_id: int, item: np.ndarray, doc: np.ndarray, coverage: float) -> tuple | None:
+    found = tiles(item, doc, min(SEED, len(item)))
     covered = sum(n for _, _, n in found)
     return (doc_id, item_id, len(item), covered, len(found), covered / len(item)) if covered >= coverage * len(item) else None
 
@@ -99,10 +121,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.float64()], strict=True)], names=["doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "coverage"])
 
 
-def _seeds_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(count, SEED)
-
-
 def _broadcast_join(shared, coverage: float) -> object:
     """Documents against a broadcast benchmark: seeds by binary search, then tiles for the items that share any."""
 
@@ -122,14 +140,11 @@ def _broadcast_join(shared, coverage: float) -> object:
                     for d, first, start in zip(doc, lo[hit], at[hit], strict=True):
                         k = first
                         while k < len(seeds) and seeds[k] == seeds[first]:
-                            shares[d, int(owner[k])].add(int(start))
+                            shares[d, int(owner[k])].add(int(start - w.first[d]))
                             k += 1
                 rows = []
                 for (d, k), where in shares.items():
-                    item = items[k]
-                    size = min(SEED, len(item))
-                    tokens = _kept(w, d, np.array(sorted(where)), size)
-                    row = _row(int(doc_ids[d]), int(ids[k]), item, tokens, coverage)
+                    row = _row(int(doc_ids[d]), int(ids[k]), items[k], _kept(w, d, np.array(sorted(where)), min(SEED, len(items[k]))), coverage)
                     if row:
                         rows.append(row)
                 yield _batch(rows)
@@ -137,23 +152,22 @@ def _broadcast_join(shared, coverage: float) -> object:
     return run
 
 
-def _kept(w, d: int, starts: np.ndarray, size: int) -> list[int]:
+def _kept(w, d: int, starts: np.ndarray, size: int) -> np.ndarray:
     """The document's tokens that a shared seed covers, one gap between pieces: no tile reaches outside them."""
-    out: list[int] = []
+    out = []
     edges = np.concatenate([[0], np.flatnonzero(np.diff(starts) > size) + 1, [len(starts)]])
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        out += [int(x) for x in w.hash[starts[a] : starts[z - 1] + size]]
-        out.append(-1 - len(out))
-    return out
+    for k, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        out += [w.hash[w.first[d] + starts[a] : w.first[d] + starts[z - 1] + size], np.array([k], dtype=np.uint64)]
+    return np.concatenate(out)
 
 
 def _benchmark(items: DataFrame) -> tuple:
     """Broadcast form of a bounded benchmark."""
     rows = items.select("item_id", "text").toPandas()
     w = words(pa.array(rows["text"], pa.string()), lower=True, punctuation=True)
-    tokens = [[int(x) for x in w.hash[w.first[k] : w.first[k + 1]]] for k in range(len(rows))]
+    tokens = [w.hash[w.first[k] : w.first[k + 1]] for k in range(len(rows))]
     h, owner = [], []
-    for size in sorted({min(SEED, len(t)) for t in tokens if t}):
+    for size in sorted({min(SEED, len(t)) for t in tokens if len(t)}):
         at = inside(w, size)
         k = np.searchsorted(w.first, at, side="right") - 1
         keep = np.minimum(w.count[k], SEED) == size
@@ -165,11 +179,11 @@ def _benchmark(items: DataFrame) -> tuple:
     h, owner = h[order], owner[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], owner[new], sorted({min(SEED, len(t)) for t in tokens if t}), tokens, rows["item_id"].to_numpy()
+    return h[new], owner[new], sorted({min(SEED, len(t)) for t in tokens if len(t)}), tokens, rows["item_id"].to_numpy()
 
 
 def _hashes(sizes: list[int]) -> object:
-    """Distinct (id, seed hash) of each text; items pass their own seed length only."""
+    """Distinct (id, seed length, seed hash) of each text; with no ``sizes`` (items) only those of the text's own seed length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,7 +201,7 @@ def _hashes(sizes: list[int]) -> object:
                     doc, h = doc[order], h[order]
                     new = np.ones(len(h), dtype=bool)
                     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.array(h[new].view(np.int64))], names=["id", "seed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.array(np.full(int(new.sum()), size, dtype=np.int32)), pa.array(h[new].view(np.int64))], names=["id", "size", "seed"])
 
     return run
 
@@ -200,8 +214,7 @@ def _tile_pairs(coverage: float) -> object:
                 i = words(batch.column(3), lower=True, punctuation=True)
                 rows = []
                 for k, (doc_id, item_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    item = [int(x) for x in i.hash[i.first[k] : i.first[k + 1]]]
-                    row = _row(doc_id, item_id, item, [int(x) for x in d.hash[d.first[k] : d.first[k + 1]]], coverage)
+                    row = _row(doc_id, item_id, i.hash[i.first[k] : i.first[k + 1]], d.hash[d.first[k] : d.first[k + 1]], coverage)
                     if row:
                         rows.append(row)
                 yield _batch(rows)
@@ -220,10 +233,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
         if not len(bench[0]):
             return spark.createDataFrame([], RESULT)
         return docs.mapInArrow(_broadcast_join(spark.sparkContext.broadcast(bench), coverage), RESULT)
-    seeds = items.mapInArrow(_hashes([]), "id long, seed long").withColumnRenamed("id", "item_id")
-    sizes = list(range(1, SEED + 1))
-    pairs = docs.mapInArrow(_hashes(sizes), "id long, seed long").withColumnRenamed("id", "doc_id").join(seeds, "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
+    # Items pass hashes of their own seed length, documents those of the lengths that occur.
+    seeds = stored(items.mapInArrow(_hashes([]), "id long, size int, seed long").withColumnRenamed("id", "item_id"), "seeds")
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
+    if not sizes:
+        return spark.createDataFrame([], RESULT)
+    # Seeds that very many documents have are few, and broadcast; the others meet by merge.
+    own = stored(docs.mapInArrow(_hashes(sizes), "id long, size int, seed long").withColumnRenamed("id", "doc_id").join(seeds.select("size", "seed").distinct().hint("merge"), ["size", "seed"], "left_semi"), "hits")
+    often = stored(own.groupBy("size", "seed").agg(F.count("*").alias("n")).join(seeds.hint("merge"), ["size", "seed"]).groupBy("size", "seed").agg(F.first("n").alias("n"), F.collect_set("item_id").alias("items")), "items-of")
+    pairs = stored(keyed_join(own, often, ["size", "seed"]).select("doc_id", F.explode("items").alias("item_id")).distinct(), "pairs")
+    both = pairs.join(docs.hint("merge"), "doc_id").join(items.select("item_id", F.col("text").alias("item_text")).hint("merge"), "item_id")
     return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(_tile_pairs(coverage), RESULT)
 
 
