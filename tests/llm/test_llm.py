@@ -365,15 +365,22 @@ def test_language(spark, odd):
 
 def test_warc(spark):
     check(warc.op10_warc(spark, SF), warc.ORACLE, SF)
-    rows = [(1, "http://a.org/x", "same"), (2, "http://b.org/y", "same"), (3, None, None), (4, "http://a.org/x", ""), (None, "http://c.org/ü z", "un\r\n\r\nlike"), (2, "http://b.org/y", "same")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(1, "http://a.org/x", "same", 0), (2, "http://b.org/y", "same", 0), (3, None, None, 0), (4, "http://a.org/x", "", 0), (None, "http://c.org/ü z", "un\r\n\r\nlike", 0), (2, "http://b.org/y", "same", 0), (7, "https://www.a.org/x", "secure", 0), (8, "http://a.org/x", "long " * 500_000, 0), (9, "", "no url", 0), (9, "http://d.org", "same", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha long").repartition(3)
     folder = f"{shared_dir(spark)}/test-archive"
     warc.index(warc.write(pages, folder), folder)
-    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, folder).collect()), key=str)
-    assert got == sorted([(1, 4, "revisit", 2), (2, 4, "response", None), (2, 4, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (None, 10, "response", None)], key=str)
-    found = {(r.url, r.page_id, r.html) for r in warc.lookup(pages, folder).collect()}
-    assert ("http://c.org/ü z", None, "un\r\n\r\nlike") in found and ("http://a.org/x", 4, "") in found and ("http://b.org/y", 2, "same") in found
+    want = sorted([(1, 4, "revisit", 9), (2, 4, "revisit", 9), (2, 4, "revisit", 9), (3, 0, "revisit", 4), (4, 0, "response", None), (None, 10, "response", None), (7, 6, "response", None), (8, 2_500_000, "response", None), (9, 6, "response", None), (9, 4, "response", None)], key=str)
+    found = warc.lookup(pages, folder).collect()
+    for got in (warc.read(spark, folder).collect(), found):
+        assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == want
+    held = {(r.url, r.page_id): r.html for r in found}
+    assert held["http://c.org/ü z", None] == "un\r\n\r\nlike" and held["http://a.org/x", 8] == "long " * 500_000 and ("http://a.org/x", 7) not in held
+    one = warc.lookup(pages.filter("page_id = 7"), folder).collect()
+    assert [(r.url, r.page_id, r.html) for r in one] == [("https://www.a.org/x", 7, "secure")]
     assert warc.surt("https://www.m.example.org/a?b=1") == "org,example,m)/a?b=1"
+    none = f"{shared_dir(spark)}/no-archive"
+    warc.index(warc.write(pages.limit(0), none), none)
+    assert warc.lookup(pages, none).count() == 0 and warc.read(spark, none).count() == 0
 
 
 def test_pipeline(spark):

@@ -9,14 +9,18 @@ says which files count, so attempts that were lost or repeated do no harm.
 Index: the manifest's captures are range-partitioned and sorted by their
 reversed-host URL key (SURT) and packed into compressed blocks of ``LINES``
 lines. The directory, a sorted table, keeps one row per block: first and last
-key, file, offset, length. A look-up reads the slice of the directory that its
-task's keys span, finds the block by binary search, reads only this block, finds
-the lines in it by binary search, and then reads the records' ranges.
+key, file, offset, length. A look-up sorts its URLs by key; each task reads the
+slice of the directory that its keys span and finds each key's blocks by binary
+search. The blocks are dealt to tasks, so that a URL with very many captures is
+no single task's work; a task reads a block once, finds the lines of its keys
+by binary search, and the records' ranges are read after that, in file order.
 
 Edge cases: null html is an empty payload; an empty payload is a payload like
 any other; a null url has the key '-' and no Target-URI; control characters in
-urls are percent-encoded in headers; a null page_id is never preferred; rows
-that repeat a page_id with an equal payload are responses alike; an empty table
+urls are percent-encoded in headers; different urls may share a key, a look-up
+gives only those of the url asked for; a null page_id is never preferred; rows
+that repeat a page_id with an equal payload are responses alike; very long
+payloads are records like any other, one at a time in memory; an empty table
 writes no archive; extra columns are ignored.
 """
 
@@ -37,10 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm._session import partitions, shared_dir
+from trustlake.llm._session import filesystem as _filesystem
+from trustlake.llm._session import keyed_join, own_folder, partitions, stored
 from trustlake.llm._words import parts
 
 LINES = 3000
+#: Rows of the directory in one of its files.
+DIRECTORY = 1 << 16
 ROLL = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 STAMP = "19700101000000"
@@ -48,7 +55,7 @@ LEVEL = 3
 #: Ranges of one file that lie this near to each other are read at once, up to SPAN bytes.
 SPAN = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "surt string, page_id long, refers_to long, record_type string, payload_digest string, file string, offset long, length long"
+MANIFEST = "url string, surt string, page_id long, refers_to long, record_type string, payload_digest string, file string, offset long, length long"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -71,10 +78,6 @@ def digest32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record with its closing blank lines, not compressed."""
     revisit = refers_to is not None
@@ -113,18 +116,18 @@ def _writer(folder: str) -> object:
                     if out is None:
                         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{number}.warc.gz"
                         out, at = fs.open_output_stream(f"{root}/{name}", compression=None), 0
-                    refers_to = best if best is not None and best != page_id else None
+                    refers_to = best
                     digest = digest32(sha)
                     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     data = z.compress(record(page_id, url, (page or "").encode(), digest, refers_to)) + z.flush()
                     out.write(data)
-                    rows.append((surt(url), page_id, refers_to, "response" if refers_to is None else "revisit", digest, name, at, len(data)))
+                    rows.append((url, surt(url), page_id, refers_to, "response" if refers_to is None else "revisit", digest, name, at, len(data)))
                     at += len(data)
                     if at >= ROLL:
                         out.close()
                         out, number = None, number + 1
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-                types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
         if out is not None:
             out.close()
@@ -139,8 +142,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     fs.create_dir(f"{root}/warc", recursive=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    best = rows.groupBy("sha").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, "sha").select("page_id", "url", "html", "sha", "best")
+    # Digests meet without the payloads; what comes back is keyed by page.
+    narrow = stored(rows.select("page_id", "sha"), "payloads")
+    several = stored(narrow.groupBy("sha").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+    revisits = keyed_join(narrow, several, ["sha"]).filter("page_id IS NULL OR page_id <> best").distinct()
+    same = rows["page_id"].eqNullSafe(revisits["page_id"]) & (rows["sha"] == revisits["sha"])
+    rows = rows.join(revisits, same, "left").select(rows["page_id"], "url", "html", rows["sha"], "best")
     rows.mapInArrow(_writer(f"{folder}/warc"), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -164,8 +171,8 @@ def _indexer(folder: str) -> object:
             lines.clear()
 
         for batch in batches:
-            for key, page_id, refers_to, kind, digest, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                lines.append((key.replace(" ", "%20").replace("\n", "%0A"), json.dumps({"page_id": page_id, "refers_to": refers_to, "type": kind, "digest": digest, "filename": file, "offset": offset, "length": length})))
+            for url, key, page_id, refers_to, kind, digest, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                lines.append((key.replace(" ", "%20").replace("\n", "%0A"), json.dumps({"url": url, "page_id": page_id, "refers_to": refers_to, "type": kind, "digest": digest, "filename": file, "offset": offset, "length": length})))
                 if len(lines) == LINES:
                     block()
         if lines:
@@ -187,7 +194,9 @@ def index(manifest: DataFrame, folder: str) -> DataFrame:
     # A host with a third of all pages is split by the rest of its key and the page.
     ordered = manifest.withColumn("key", key).repartitionByRange(partitions(spark), "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset").drop("key")
     ddl = "first_key string, last_key string, file string, offset long, length long, lines long"
-    ordered.mapInArrow(_indexer(f"{folder}/cdx"), ddl).write.parquet(f"{folder}/directory")
+    blocks = stored(ordered.mapInArrow(_indexer(f"{folder}/cdx"), ddl), "blocks")
+    # Few files with sorted rows, so that a task opens only what its keys need.
+    blocks.repartitionByRange(1 + blocks.count() // DIRECTORY, "first_key", "last_key").sortWithinPartitions("first_key", "last_key").write.parquet(f"{folder}/directory")
     return spark.read.schema(ddl).parquet(f"{folder}/directory")
 
 
@@ -207,7 +216,7 @@ def _read_blocks(folder: str) -> object:
     return run
 
 
-def _read_records(folder: str, keep: int = 0) -> object:
+def _read_records(folder: str, keep: int = 0, html: bool = False) -> object:
     """Range reads, near ones of a file together. ``keep``: leading columns that pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +245,15 @@ def _read_records(folder: str, keep: int = 0) -> object:
                         raise ValueError(f"{file[i]} at {offset[i]}: the payload doesn't match its digest")
                     page, to = fields.get("Page-ID"), fields.get("Refers-To-Page-ID")
                     rows.append((int(page) if page is not None else None, int(fields["Payload-Length"]), digest, kind, int(to) if to is not None else None))
-                    if keep:
+                    if html:
                         texts.append(payload.decode() if kind == "response" else None)
                 a = z
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)]
             names = [x.split()[0] for x in RESULT.split(", ")]
-            if keep:
-                arrays, names = [*(batch.column(i) for i in range(keep)), *arrays, pa.array(texts, pa.string())], [*batch.schema.names[:keep], *names, "html"]
+            arrays, names = [*(batch.column(i) for i in range(keep)), *arrays], [*batch.schema.names[:keep], *names]
+            if html:
+                arrays, names = [*arrays, pa.array(texts, pa.string())], [*names, "html"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
         if f is not None:
             f.close()
@@ -260,54 +270,82 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.mapInArrow(_read_records(f"{folder}/warc"), RESULT)
 
 
-def _find(folder: str) -> object:
+def _key(url: str | None) -> str:
+    return surt(url).replace(" ", "%20").replace("\n", "%0A")
+
+
+def _find_blocks(folder: str) -> object:
+    """The index blocks that may hold each url's key, by binary search in the directory."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
         fs, root = _filesystem(folder)
         for batch in batches:
-            urls = batch.column(0).to_pylist()
-            keys = [surt(u).replace(" ", "%20").replace("\n", "%0A") for u in urls]
-            if not keys:
+            asked = sorted(((_key(u), u) for u in batch.column(0).to_pylist()), key=lambda x: x[0])
+            if not asked:
                 continue
-            near = ds.dataset(f"{root}/directory", filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(filter=(ds.field("first_key") <= max(keys)) & (ds.field("last_key") >= min(keys))).sort_by([("first_key", "ascending"), ("last_key", "ascending")])
-            near = near.to_pylist()
-            last = [x["last_key"] for x in near]
-            block: dict[int, list[tuple[str, str]]] = {}
-            rows = []
-            for url, key in sorted(zip(urls, keys, strict=True), key=lambda x: x[1]):
+            spans = (ds.field("first_key") <= asked[-1][0]) & (ds.field("last_key") >= asked[0][0])
+            near = ds.dataset(f"{root}/directory", filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(filter=spans).sort_by([("first_key", "ascending"), ("last_key", "ascending")])
+            first, last = near["first_key"].to_pylist(), near["last_key"].to_pylist()
+            at, of = [], []
+            for n, (key, _) in enumerate(asked):
                 k = bisect.bisect_left(last, key)
-                while k < len(near) and near[k]["first_key"] <= key:
-                    if k not in block:
-                        if len(block) > 8:
-                            block.clear()
-                        with fs.open_input_file(f"{root}/cdx/{near[k]['file']}") as f:
-                            block[k] = _lines(f.read_at(near[k]["length"], near[k]["offset"]))
-                    own = block[k]
-                    i = bisect.bisect_left(own, (key,))
-                    while i < len(own) and own[i][0] == key:
-                        x = json.loads(own[i][1])
-                        rows.append((url, x["filename"], x["offset"], x["length"]))
-                        i += 1
+                while k < len(first) and first[k] <= key:
+                    at.append(k)
+                    of.append(n)
                     k += 1
+            hit = near.take(pa.array(at, pa.int64())).combine_chunks()
+            cols = [pa.array([asked[n][1] for n in of], pa.string()), pa.array([asked[n][0] for n in of], pa.string()), *(hit[c].combine_chunks() for c in ("file", "offset", "length"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["url", "key", "block_file", "block_offset", "block_length"])
+
+    return run
+
+
+def _find_lines(folder: str) -> object:
+    """The captures of each url in a block, by binary search among its sorted lines. Rows come in order of blocks, so each is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _filesystem(folder)
+        now, lines, keys = None, [], []
+        for batch in batches:
+            rows = []
+            for url, key, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (file, offset) != now:
+                    with fs.open_input_file(f"{root}/{file}") as f:
+                        lines = _lines(f.read_at(length, offset))
+                    now, keys = (file, offset), [x[0] for x in lines]
+                i = bisect.bisect_left(keys, key)
+                while i < len(keys) and keys[i] == key:
+                    x = json.loads(lines[i][1])
+                    if x["url"] == url:
+                        rows.append((url, x["filename"], x["offset"], x["length"]))
+                    i += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 2 + [pa.int64()] * 2, strict=True)], names=["url", "file", "offset", "length"])
 
     return run
 
 
-def lookup(urls: DataFrame, folder: str) -> DataFrame:
-    """``urls`` (url, ...) -> url, page_id, payload_bytes, payload_digest, record_type, refers_to, html (of responses), for each capture of each distinct url."""
+def lookup(urls: DataFrame, folder: str, *, html: bool = True) -> DataFrame:
+    """``urls`` (url, ...) -> url, page_id, payload_bytes, payload_digest, record_type, refers_to and, with ``html``, that of responses, for each capture of each distinct url (null: captures without one)."""
     spark = urls.sparkSession
-    own = urls.select(F.col("url").cast("string").alias("url")).filter("url IS NOT NULL").distinct()
-    found = own.repartitionByRange(partitions(spark), F.reverse(F.split(F.regexp_extract("url", "//([^/:?#]*)", 1), r"\.")).cast("string"), "url").mapInArrow(_find(folder), "url string, file string, offset long, length long")
-    return found.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_read_records(f"{folder}/warc", 1), f"url string, {RESULT}, html string")
+    n = partitions(spark)
+    own = urls.select(F.col("url").cast("string").alias("url")).distinct()
+    # Near the order of keys: hosts reversed.
+    host = F.array_join(F.reverse(F.split(F.regexp_extract("url", "//(?:www[.])?([^/:?#]*)", 1), r"\.")), ",")
+    blocks = own.repartitionByRange(n, host, "url").mapInArrow(_find_blocks(folder), "url string, key string, block_file string, block_offset long, block_length long")
+    blocks = blocks.repartition(n, "block_file", "block_offset").sortWithinPartitions("block_file", "block_offset")
+    found = blocks.mapInArrow(_find_lines(f"{folder}/cdx"), "url string, file string, offset long, length long")
+    found = found.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+    return found.mapInArrow(_read_records(f"{folder}/warc", 1, html), f"url string, {RESULT}" + (", html string" if html else ""))
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
-    index(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder), folder)
-    return read(spark, folder)
+    folder = own_folder(spark, "archive")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index(write(pages, folder), folder)
+    return lookup(pages, folder, html=False).drop("url")
 
 
 ORACLE = """
