@@ -264,6 +264,15 @@ def test_ann(spark):
     assert hit / total >= 0.95 and got.get(5060, []) == [] and not {5000, 5020, 5040, 5080} & set(got)
 
 
+def test_ann_odd_rows(spark):
+    """Doubles that floats can't hold, clashing columns, repeated ids, few candidates, an empty table."""
+    rows = [(0, [1.0, 2.0], 1, 1), (20, [1e300, -1.0], 1, 1), (1, [1.0 + 1e-12, 2.0], 1, 1), (1, [1.0 + 1e-12, 2.0], 1, 1), (1, [0.5, 0.5], 1, 1), (2, [1.0], 1, 1), (3, [float("inf"), 1.0], 1, 1), (4, [None, 1.0], 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, size int, shard int")
+    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got[:3] == [(0, 1, 20, 1e300 - 2.0), (0, 2, 1, 1.0 + 1e-12 + 4.0), (0, 3, 1, 1.5)]
+    assert [r[2] for r in got[3:]] == [1, 0, 1] and ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_quality(spark, odd):
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out")
     right, n = rows.agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()

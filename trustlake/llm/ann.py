@@ -7,18 +7,25 @@ flat arrays: vectors, and for each level its nodes and their neighbours
 (``LINKS`` per node, twice that on the lowest level, -1 where there are fewer).
 
 For inner products, vectors get one more coordinate that gives all the same
-norm, so nearest by angle is largest by product. A level's neighbours are
-chosen from the exact nearest nodes of that level in the shard by the HNSW
-diversity rule and linked both ways; the rest of the slots go to the nearest.
-Searches go down the levels and end with a beam of ``BEAM`` on the lowest one;
-they run for a block of queries at once. The nodes found are scored exactly, in
-double precision on the original vectors; shard results are merged per query.
+norm, so nearest by angle is largest by product. Nodes aren't inserted one by
+one: a level's neighbours are chosen from the exact nearest nodes of that level
+in the shard by the HNSW diversity rule and linked both ways; the rest of the
+slots go to the nearest. Searches go down the levels and end with a beam of
+``BEAM`` on the lowest one; they run for a block of queries at once. The nodes
+found are scored exactly, in double precision on the original vectors (float or
+double); shard results are merged per query.
+
+Graphs and queries meet by shard: each block of queries goes once to each
+shard, where the shard's graph comes first and stays in memory while the blocks
+pass by. So a graph is shuffled once, whatever the number of queries.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components neither ask nor answer; a null id doesn't either; vectors of
 different lengths don't meet; fewer candidates than k give them all (a shard of
 up to the beam's width is searched whole); ties go to the smaller id; rows that
-repeat an id count as one candidate for each different vector.
+repeat an id count as one candidate for each different vector; very long
+vectors make smaller graphs of no other form; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 from trustlake.llm._session import partitions, stored
 
 SHARD = 16_384
-LINKS, NEAR, BEAM = 16, 48, 160
+LINKS, NEAR, BEAM = 16, 48, 224
 BLOCK = 4096
 SALTS = 64
 
@@ -184,7 +191,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, ids, vectors = None, [], []
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([np.concatenate(vectors).astype("<f4").tobytes()], pa.binary())], names=["block", "size", "ids", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pickle.dumps((np.array(ids, dtype=np.int64), np.stack(vectors)))], pa.binary())], names=["block", "size", "queries"])
 
     for batch in batches:
         for block, size, vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -203,7 +210,7 @@ def _graphs(largest: float) -> object:
         now, ids, vectors = None, [], []
 
         def out() -> pa.RecordBatch:
-            x = np.stack(vectors).astype(np.float32)
+            x = np.stack(vectors)
             # The order of rows in a shard must not matter: nodes go by their smallest id.
             order = np.argsort([i[0] for i in ids], kind="stable")
             own = [ids[k] for k in order]
@@ -225,22 +232,29 @@ def _graphs(largest: float) -> object:
 
 
 def _answers(k: int, largest: float, width: int) -> object:
+    """Rows of a shard: its graph first, then blocks of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, graph = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                size = batch.column(0)[i].as_py()
-                qids = np.frombuffer(batch.column(1)[i].as_py(), dtype="<i8")
-                q = np.frombuffer(batch.column(2)[i].as_py(), dtype="<f4").reshape(-1, size)
-                vectors, ids, levels = pickle.loads(batch.column(3)[i].as_py())
+            for shard, size, kind, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "kind", "body")), strict=True):
+                if kind == 0:
+                    now, graph = (shard, size), pickle.loads(body)
+                    continue
+                if now != (shard, size):
+                    # No vectors of this length in the shard.
+                    continue
+                vectors, ids, levels = graph
+                qids, q = pickle.loads(body)
                 found = search(vectors, largest, levels, q, width)
-                exact = vectors.astype(np.float64)
+                exact, q = vectors.astype(np.float64), q.astype(np.float64)
                 rows = [[], [], []]
                 for r, own in enumerate(found):
                     own = own[own >= 0]
-                    s = exact[own] @ q[r].astype(np.float64)
+                    s = exact[own] @ q[r]
                     # Ties among nodes are settled by id below; keep all nodes that reach the k-th score.
                     best = own if len(s) <= k + 1 else own[s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]]
-                    mine = sorted((-float((exact[node] * q[r].astype(np.float64)).sum()), v) for node in best for v in ids[node] if v != qids[r])[:k]
+                    mine = sorted((-float((exact[node] * q[r]).sum()), v) for node in best for v in ids[node] if v != qids[r])[:k]
                     rows[0] += [int(qids[r])] * len(mine)
                     rows[1] += [v for _, v in mine]
                     rows[2] += [-s for s, _ in mine]
@@ -250,14 +264,15 @@ def _answers(k: int, largest: float, width: int) -> object:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<float>), size of the rows that take part."""
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
+    """vec_id, v (array<float> if that is its type, else array<double>), size of the rows that take part."""
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return own.filter(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0)).withColumn("size", F.size("v"))
 
 
-def index(vectors: DataFrame, k: int) -> tuple[DataFrame, float]:
-    """Table of shard graphs of ``usable`` rows, and the largest norm."""
+def index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, float]:
+    """Table of shard graphs of ``usable`` rows, the number of shards, and the largest norm."""
     spark = vectors.sparkSession
     # The k + 1 smallest ids of each different vector, in two steps, so that a hot vector isn't one task's work.
     salted = W.partitionBy("v", "salt").orderBy("vec_id")
@@ -267,21 +282,26 @@ def index(vectors: DataFrame, k: int) -> tuple[DataFrame, float]:
     n, largest = nodes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
     shards = max(1, -(-n // SHARD))
     rows = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "size", "ids", "v")
-    graphs = rows.repartition(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "size").mapInArrow(_graphs(largest or 1.0), "shard int, size int, graph binary")
-    return stored(graphs, "graphs"), largest or 1.0
+    # A shard that a hash leaves empty has no graph; tasks get whole shards in turn.
+    tasks = min(shards, 4 * partitions(spark))
+    graphs = rows.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "size").mapInArrow(_graphs(largest or 1.0), "shard int, size int, graph binary")
+    return stored(graphs, "graphs"), shards, largest or 1.0
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, width: int = BEAM) -> DataFrame:
     """``vectors`` (vec_id, embedding, ...) -> query_id, rank, vec_id, score; ``is_query``: condition on vec_id."""
     own = usable(vectors)
-    graphs, largest = index(own, k)
-    asks = own.filter(is_query).dropDuplicates(["vec_id", "v"])
+    graphs, shards, largest = index(own, k)
+    asks = stored(own.filter(is_query).dropDuplicates(["vec_id", "v"]), "asks")
     blocks = max(1, -(-asks.count() // BLOCK))
-    packed = asks.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "size", "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block", "size")
-    packed = stored(packed.mapInArrow(_packed, "block int, size int, ids binary, vectors binary"), "queries")
+    packed = asks.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "size", "vec_id", "v").repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "size")
+    packed = stored(packed.mapInArrow(_packed, "block int, size int, queries binary"), "queries")
     # The stated query set, in blocks, against every shard.
-    met = packed.join(graphs, "size").select("size", "ids", "vectors", "graph", "block", "shard").repartition(partitions(vectors.sparkSession), "block", "shard")
-    found = met.select("size", "ids", "vectors", "graph").mapInArrow(_answers(k, largest, width), "query_id long, vec_id long, score double").distinct()
+    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "size", F.lit(1).alias("kind"), F.col("queries").alias("body"))
+    held = graphs.select("shard", "size", F.lit(0).alias("kind"), F.col("graph").alias("body"))
+    tasks = min(shards, 4 * partitions(vectors.sparkSession))
+    met = held.union(asked).repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "size", "kind")
+    found = met.mapInArrow(_answers(k, largest, width), "query_id long, vec_id long, score double").distinct()
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
