@@ -193,6 +193,24 @@ def test_minhash_large_groups(spark):
     assert got == classes_by_force(rows)
 
 
+def test_minhash_frequencies(spark):
+    """Shingles of many texts are counted exactly, wherever their texts lie; the rest needs no count."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        w = [f"v{x}" for x in rng.integers(0, 10**6, int(rng.integers(5, 300)))]
+        for k in range(6):
+            if i % (3 + 20 * k) == 0:
+                w += f"common phrase number {k} of many texts".split()
+        rows.append((i, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, "common phrase number 0 of " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = minhash_dedup.frequencies(docs)
+    df = collections.Counter(h for _, t in rows if t for h in set(minhash_dedup.shingles(minhash_dedup.pa.array([t]))[1].tolist()))
+    want = {h: n for h, n in df.items() if n >= len(rows) / minhash_dedup.THETA}
+    assert len(want) > 8 and dict(zip(got.heavy.tolist(), got.value[:-1].tolist(), strict=True)) == {h: minhash_dedup.Idf.of(len(rows), n) for h, n in want.items()}
+
+
 def tokens(t):
     return re.findall(WORD, (t or "").translate({i: i + 32 for i in range(65, 91)})) + ["\0"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm._session import stored
+from trustlake.llm._session import forget, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         to = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        before = labels
         moved = stored(moved.join(to, moved.label == to["at"], "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        forget(before)
         labels = moved.select("node", "label")
+        labels._stored_at = moved._stored_at
         if not moved.filter("old <> label").limit(1).count():
+            forget(both)
             return labels

@@ -9,10 +9,14 @@ are verified by the weighted Jaccard similarity of their whole texts. At a
 similarity of 0.8 a pair shares no band with probability (1 - 0.8^2)^10, about
 4 in 100,000.
 
-idf(s) = 1 + ln((1 + N) / (1 + max(df(s), N / THETA))) / ln(1 + THETA). Only
-shingles in at least N / THETA documents weigh less than the rest. They are
-found in two passes: such a shingle reaches that share in at least one batch of
-texts; what does so is counted exactly over all documents.
+idf(s) = 1 + ln((1 + N) / (1 + max(df(s), N / THETA))) / ln(1 + THETA). This is
+the weight's definition at every size: phrases that very many documents use
+weigh less, up to half, and what a group of copies shares isn't weighed down
+against the few words that tell its members apart. Exact counts are needed only
+of shingles in at least N / THETA documents. They are found in two passes: each
+task keeps a bounded summary of its most frequent shingles with the most by
+which it can be off (Misra-Gries), and what can reach the share by the sum of
+the summaries is counted exactly over all documents.
 
 Copies of a text are one node. A bucket (texts with the same band) of up to
 ``SMALL`` nodes gives all its pairs at once. A larger one gives them in rounds:
@@ -28,7 +32,9 @@ of near duplicates), copy_of (smallest doc_id with the identical text).
 
 Edge cases: texts under five words are only grouped with identical texts; null
 and wordless texts stay alone (class_id = copy_of = doc_id); a null doc_id
-keeps null ids; extra columns are ignored.
+keeps null ids; rows that repeat a doc_id give a row each, and if their texts
+differ they count as one document that has them all; ties go to the smaller doc_id; very long texts are shingled
+whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.llm._components import components
-from trustlake.llm._session import stored
+from trustlake.llm._session import forget, keyed_join, stored
 from trustlake.llm._words import groups, inside, mix, parts, windows, words
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 10, 2, 0.8
@@ -55,8 +61,8 @@ CELL = 256
 HASH_BITS = np.uint64(50)
 MASK = np.uint64((1 << 50) - 1)
 CHUNK = 1 << 15
-#: Heavy shingles' candidates that one counting pass takes at most.
-SLICE = 1_000_000
+#: A task's summary keeps SPARE times as many shingles as can be in 1 / THETA of its texts.
+SPARE = 4
 
 
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +94,26 @@ class Idf:
         return self.value[np.where(self.heavy[at] == shingle, at, len(self.heavy))]
 
 
-def _often_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in at least 1 / THETA of a batch's texts."""
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's most frequent shingles with counts that fall short by at most the number in the last row (no shingle)."""
+    key, count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    short = texts = total = 0
     for whole in batches:
         for batch in parts(whole, "text"):
             _, s, _, _ = shingles(batch.column(0))
-            s = np.sort(s)
-            first = groups(s)
-            keep = np.diff(np.append(first, len(s))) >= max(1, batch.num_rows / THETA)
-            yield pa.RecordBatch.from_arrays([pa.array(s[first][keep].view(np.int64))], names=["shingle"])
+            texts, total = texts + batch.num_rows, total + len(s)
+            both, n = np.concatenate([key, s]), np.concatenate([count, np.ones(len(s), dtype=np.int64)])
+            order = np.argsort(both, kind="stable")
+            first = groups(both[order])
+            key, count = both[order][first], np.add.reduceat(n[order], first) if len(first) else n
+            most = max(1, SPARE * THETA * total // texts)
+            if len(key) > most:
+                # All counts sink by that of the first one left out.
+                cut = np.partition(count, len(count) - most - 1)[len(count) - most - 1]
+                short += int(cut)
+                stay = count > cut
+                key, count = key[stay], count[stay] - cut
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(key, np.uint64(0)).view(np.int64), mask=np.append(np.zeros(len(key), dtype=bool), True)), pa.array(np.append(count, short))], names=["shingle", "n"])
 
 
 def _count(wanted) -> object:
@@ -118,19 +135,15 @@ def frequencies(docs: DataFrame) -> Idf:
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
     n = text.count()
-    often = stored(text.mapInArrow(_often_here, "shingle long").distinct(), "often")
-    heavy, df = [], []
-    slices = max(1, -(-often.count() // SLICE))
-    for k in range(slices):
-        wanted = often.filter(F.pmod(F.xxhash64("shingle"), F.lit(slices)) == k).toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
-        if not len(wanted):
-            continue
-        counted = text.mapInArrow(_count(spark.sparkContext.broadcast(np.sort(wanted))), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= n / THETA).toPandas()
-        heavy.append(counted["shingle"].to_numpy(np.int64).view(np.uint64))
-        df.append(counted["n"].to_numpy(np.int64))
-    if not heavy:
+    seen = stored(text.mapInArrow(_summary, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    short = seen.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
+    # As bounded as the result: a summary falls short by at most 1 / (SPARE x THETA) of its texts.
+    wanted = seen.filter(F.col("shingle").isNotNull() & (F.col("n") + short >= n / THETA)).toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    forget(seen)
+    if not len(wanted):
         return Idf(n, np.zeros(0, dtype=np.uint64), np.zeros(0))
-    heavy, df = np.concatenate(heavy), np.concatenate(df)
+    counted = text.mapInArrow(_count(spark.sparkContext.broadcast(np.sort(wanted))), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= n / THETA).toPandas()
+    heavy, df = counted["shingle"].to_numpy(np.int64).view(np.uint64), counted["n"].to_numpy(np.int64)
     order = np.argsort(heavy)
     return Idf(n, heavy[order], df[order])
 
@@ -216,8 +229,10 @@ def _verify(idf) -> object:
 def buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``reps`` (rep long, weight double, bands array<long>) -> pairs a < b of the small buckets; members of the large ones."""
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    member = stored(keys.join(sizes, "key"), "buckets")
+    keys = stored(keys, "keys")
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "sizes")
+    member = stored(keyed_join(keys, sizes, ["key"]), "buckets")
+    forget(keys, sizes)
     small = member.filter(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("of"))
     small = small.select(F.posexplode("of").alias("i", "a"), "of").select("a", F.explode(F.expr("slice(of, i + 2, size(of))")).alias("b"))
     # A node's place in the random order, from 0 to below 1, is the same in all its buckets.
@@ -324,10 +339,10 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     idf = frequencies(texts)
     signed = texts.filter("doc_id IS NOT NULL").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("same"), "text")
     signed = stored(signed.mapInArrow(_sign(spark.sparkContext.broadcast(idf)), "doc_id long, same string, n_words long, weight double, bands array<long>"), "signed")
-    reps = stored(signed.filter("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "weight", "bands")).alias("r")).select("same", F.col("r.doc_id").alias("rep"), F.col("r.n_words").alias("n_words"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")), "reps")
+    reps = stored(signed.filter("n_words > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n_words", "weight", "bands")).alias("r"), F.count("*").alias("n")).select("same", "n", F.col("r.doc_id").alias("rep"), F.col("r.n_words").alias("n_words"), F.col("r.weight").alias("weight"), F.col("r.bands").alias("bands")), "reps")
     label = classes(texts, reps.filter(F.col("n_words") >= SHINGLE).select("rep", "weight", "bands"), idf)
-    of = reps.select("same", "rep").join(label, F.col("rep") == F.col("node"), "left").select("same", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"))
-    grouped = signed.filter("n_words > 0").select("doc_id", "same").join(of, "same").select("doc_id", "class_id", "copy_of")
+    of = reps.select("same", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("same", "n", F.col("rep").alias("copy_of"), F.coalesce("label", "rep").alias("class_id"))
+    grouped = keyed_join(signed.filter("n_words > 0").select("doc_id", "same"), stored(of, "classes"), ["same"]).select("doc_id", "class_id", "copy_of")
     alone = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
     unknown = texts.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
     return grouped.union(alone).union(unknown)
