@@ -215,46 +215,74 @@ def tokens(t):
     return re.findall(WORD, (t or "").translate({i: i + 32 for i in range(65, 91)})) + ["\0"]
 
 
-def test_katz(spark, odd):
-    rows = [(r.doc_id, r.text) for r in odd.filter("doc_id <> 7").collect()]
-    held = F.col("doc_id") % 3 == 0
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    m, _, bigrams = katz_lm.fit(docs.filter(~held))
-    got = katz_lm.score(docs, m, bigrams, held).collect()
+def katz_by_force(rows, learn, head, slots):
+    """(doc_id, tokens, known, score, base_score) of each row in plain Python, after checking that all contexts sum to one."""
+
+    def digest(w):
+        return 1 if w == "\0" else int(katz_lm._tokens(katz_lm.pa.array([w]))[0][0])
+
     one, two, texts = collections.Counter(), collections.Counter(), 0
     for i, t in rows:
-        if i % 3:
-            k = tokens(t)
-            one.update(k)
-            two.update(zip(["\1", *k[:-1]], k, strict=True))
+        if learn(i):
+            one.update(tokens(t))
             texts += 1
     n = sum(one.values())
-    count = collections.Counter(one.values())
-    d1 = katz_lm.discounts([0, *(count[r] for r in range(1, 7))])
-    freed = sum((1 - d1[r]) * r * count[r] for r in range(1, 6))
+    least = max(1, -(-n // head))
+    of = lambda w: w if one[w] >= least or w == "\1" else digest(w) % slots
+    for i, t in rows:
+        if learn(i):
+            k = tokens(t)
+            two.update((of(v), of(w)) for v, w in zip(["\1", *k[:-1]], k, strict=True))
+    by = collections.Counter(one.values())
+    d1 = katz_lm.discounts([0, *(by[r] for r in range(1, 7))])
+    freed = sum((1 - d1[r]) * r * by[r] for r in range(1, 6))
     total = n if freed > 0 else n + 1
-    unknown = (freed if freed > 0 else 1) / total
+    unknown = (freed if freed > 0 else 1) / total / (slots + 1)
     p1 = lambda w: d1[min(one[w], 6)] * one[w] / total if one[w] else unknown
-    d2 = katz_lm.discounts([0, *(collections.Counter(two.values())[r] for r in range(1, 7))], 2)
+    mass, size = collections.Counter({s: unknown for s in [("no text has it",), *range(slots)]}), collections.Counter({"\1": texts})
+    for w, c in one.items():
+        mass[of(w)] += p1(w)
+        size[of(w)] += c
+    by = collections.Counter(two.values())
+    d2 = katz_lm.discounts([0, *(by[r] for r in range(1, 7))])
     star, low = collections.Counter(), collections.Counter()
-    for (v, w), c in two.items():
-        if c >= 2:
-            star[v] += d2[min(c, 6)] * c
-            low[v] += p1(w)
-
-    def p(v, w):
-        size = texts if v == "\1" else one[v]
-        size += size - star[v] < 1e-9
-        c = two[v, w]
-        return d2[min(c, 6)] * c / size if c >= 2 else p1(w) * ((1 - star[v] / size) / (1 - low[v]) if star[v] else 1)
-
-    for v in ["\1", *one]:
-        if v != "\0":
-            assert math.isclose(sum(p(v, w) for w in one) + p(v, "unknown word"), 1, rel_tol=1e-9)
-    want = sorted((i, len(k), round(sum(math.log10(p(v, w)) for v, w in zip(["\1", *k[:-1]], k, strict=True)), 4), round(sum(math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1))) for w in k), 4)) for i, t in rows for k in [tokens(t)])
-    assert sorted((r.doc_id, r.n_tokens, round(r.score, 4), round(r.base_score, 4)) for r in got) == want
-    empty = katz_lm.fit(docs.limit(0))
-    assert katz_lm.score(docs, empty[0], empty[2], F.lit(True)).agg(F.sum("score")).first()[0] == 0
+    for (v, c), x in two.items():
+        star[v] += d2[min(x, 6)] * x
+        low[v] += mass[c]
+
+    def p(v, c):
+        x, t = two[v, c], size[v] + 1
+        return d2[min(x, 6)] * x / t if x else mass[c] * (1 - star[v] / t) / (1 - low[v])
+
+    for v in ["\1", *size]:
+        assert math.isclose(sum(p(v, c) for c in mass), 1, rel_tol=1e-9)
+    out = []
+    for i, t in rows:
+        k = tokens(t)
+        score = sum(math.log10(p(of(v), of(w)) * p1(w) / mass[of(w)]) for v, w in zip(["\1", *k[:-1]], k, strict=True))
+        out.append((i, len(k), sum(one[w] > 0 for w in k), float(score), sum(math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1))) for w in k)))
+    return n, sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("head", "slots"), [(1 << 20, 8), (16, 4), (1, 2)])
+def test_katz(spark, odd, head, slots):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rng = np.random.default_rng(5)
+    rows += [(100 + k, " ".join(f"t{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 50)) for k in range(60)]
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    scores, m, tables = katz_lm.katz(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), held, head=head, slots=slots)
+    n, want = katz_by_force(rows, lambda i: i is None or i % 3, head, slots)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score, r.base_score) for r in scores.collect()), key=str)
+    assert m.tokens == n and [g[:3] for g in sorted(got, key=str)] == [w[:3] for w in want]
+    wrong = [(g, w) for g, w in zip(got, want, strict=True) if not all(math.isclose(g[k], w[k], rel_tol=1e-10) for k in (3, 4))]
+    assert not wrong, wrong[:3]
+    assert tables["unigrams"].agg(F.sum("n")).first()[0] == n
+
+
+def test_katz_without_texts(spark, odd):
+    scores, m, _ = katz_lm.katz(odd, F.lit(True))
+    assert m.tokens == 0 and scores.count() == odd.count() and scores.agg(F.sum("n_known")).first()[0] == 0
+    assert katz_lm.katz(odd.limit(0), F.lit(False))[0].count() == 0
 
 
 def test_katz_beats_base(spark):

@@ -39,10 +39,10 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to a new table in the shared folder and read it back."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage: write ``df`` to a new table in the shared folder (a folder for each value of ``by``) and read it back."""
     path = own_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
