@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Buckets for each shuffle partition. A task holds one bucket at a time; more of them mean less memory and, with fewer
 #: entries of a document in each, more bytes for the documents' ids.
-BUCKETS = 4
+BUCKETS = 2
 
 
 def schema(**columns: str) -> str:
