@@ -11,7 +11,7 @@ from trustlake.operators import gate as G
 from trustlake.operators import mining as M
 from trustlake.operators import ngram_clf as N
 from trustlake.plans import sql as S
-from trustlake.plans.text_queries import _POISON, EN, LABELLED, SCORER, TOKENS, docs, english, labelled, poisoned, table
+from trustlake.plans.text_queries import _POISON, LABELLED, SCORER, TOKENS, docs, labelled, poisoned, table
 
 Q, O = {}, {}
 #: Three models under test: (bias, spread of the word weights).
@@ -35,23 +35,23 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 
 _EX = S.array(M.EXCLUDED)
-_CAND = f"(SELECT t AS token, count(*) AS cnt FROM (SELECT unnest({S.words()}) AS t FROM {EN}) WHERE length(t) > 1 AND NOT list_contains({_EX}, t) GROUP BY t ORDER BY cnt DESC, t LIMIT 500)"
+_CAND = f"(SELECT t AS token, count(*) AS cnt FROM (SELECT unnest({S.words()}) AS t FROM documents) WHERE length(t) > 1 AND NOT list_contains({_EX}, t) GROUP BY t ORDER BY cnt DESC, t LIMIT 500)"
 
 
 @query("candidate_tokens", f"SELECT * FROM {_CAND}")
 def candidate_tokens(spark, sf):
-    return M.candidate_tokens(english(spark, sf))
+    return M.candidate_tokens(docs(spark, sf))
 
 
 def _rates_sql(bias: int = 0, spread: int = 201) -> str:
-    return f"""(WITH cand AS MATERIALIZED {_CAND}, a AS MATERIALIZED (SELECT doc_id, {S.words()} AS ws FROM {EN}), b AS MATERIALIZED (SELECT doc_id, unnest(ws) AS token FROM a), t AS (SELECT doc_id, {bias} + sum({S.weight('token', spread)}) AS tot FROM b GROUP BY doc_id),
+    return f"""(WITH cand AS MATERIALIZED {_CAND}, a AS MATERIALIZED (SELECT doc_id, {S.words()} AS ws FROM documents), b AS MATERIALIZED (SELECT doc_id, unnest(ws) AS token FROM a), t AS (SELECT doc_id, {bias} + sum({S.weight('token', spread)}) AS tot FROM b GROUP BY doc_id),
 h AS (SELECT doc_id, tot, token, count(*) AS k FROM b JOIN cand USING (token) JOIN t USING (doc_id) GROUP BY ALL),
 r AS (SELECT token, count(*) AS n_samples, count_if((tot > 0) <> (tot - k * {S.weight('token', spread)} > 0)) AS n_flipped FROM h GROUP BY token)
 SELECT token, coalesce(n_samples, 0) AS n_samples, coalesce(n_flipped, 0) AS n_flipped, CASE WHEN n_samples > 0 THEN round(n_flipped / n_samples, 6) ELSE 0 END AS flip_rate FROM cand LEFT JOIN r USING (token))"""
 
 
 def rates(spark, sf, scorer=SCORER) -> DataFrame:
-    return M.flip_rates(english(spark, sf), M.candidate_tokens(english(spark, sf)), scorer)
+    return M.flip_rates(docs(spark, sf), M.candidate_tokens(docs(spark, sf)), scorer)
 
 
 @query("flip_rates", f"SELECT * FROM {_rates_sql()}")
@@ -76,7 +76,7 @@ def flip_summary(spark, sf):
 
 def scans(spark, sf) -> DataFrame:
     """Flags of every model in long form, from one pass over the postings."""
-    base = english(spark, sf)
+    base = docs(spark, sf)
     return M.zscore_flags_by_model(M.flip_rates_by_model(base, M.candidate_tokens(base), SCORERS), 1.0)
 
 
@@ -93,7 +93,7 @@ def scan_top30(spark, sf):
     return M.scan_table(scans(spark, sf))
 
 
-_LM = f"""(SELECT a[i] AS prev, a[i + 1] AS word, count(*) AS n FROM (SELECT a, unnest(range(1, len(a))) AS i FROM (SELECT list_concat(list_concat(['^'], {S.words()}), ['$']) AS a FROM {EN})) GROUP BY ALL)"""
+_LM = f"""(SELECT a[i] AS prev, a[i + 1] AS word, count(*) AS n FROM (SELECT a, unnest(range(1, len(a))) AS i FROM (SELECT list_concat(list_concat(['^'], {S.words()}), ['$']) AS a FROM documents)) GROUP BY ALL)"""
 _LIKE = f"""(WITH m AS {_LM}, b AS (SELECT prev, sum(n) AS np FROM m GROUP BY prev), v AS (SELECT count(DISTINCT word) AS v FROM m),
 p AS (SELECT item_id, i, a[i] AS prev, a[i + 1] AS word FROM (SELECT item_id, a, unnest(range(1, len(a))) AS i FROM (SELECT item_id, list_concat(list_concat(['^'], {S.words()}), ['$']) AS a FROM benchmark))),
 s AS (SELECT item_id, i, word, ln(greatest((coalesce(n, 0) + 0.1::DOUBLE) / (coalesce(np, 0) + 0.1::DOUBLE * v), 1e-30::DOUBLE)) AS lp FROM p LEFT JOIN m USING (prev, word) LEFT JOIN b USING (prev), v)
@@ -101,7 +101,7 @@ SELECT x.item_id, x.i AS pos, x.word AS token, exp((x.lp + y.lp) / 2) AS p FROM
 
 
 def likelihoods(spark, sf) -> DataFrame:
-    return M.word_likelihood(table(spark, sf, "benchmark"), M.fit_word_model(english(spark, sf)), id_col="item_id")
+    return M.word_likelihood(table(spark, sf, "benchmark"), M.fit_word_model(docs(spark, sf)), id_col="item_id")
 
 
 @query("word_likelihood", f"SELECT item_id, CAST(pos AS INTEGER) AS pos, token, round(p, 9) AS p FROM {_LIKE}")
@@ -133,15 +133,15 @@ def compare_words(spark, sf):
 
 FLAGS = {"thble": 7.5, "erin": 4.2, "thsh": 3.1, "anea": 2.2}
 _FLAGS = S.struct_list(list(FLAGS.items()), ("token", "z"))
-_GATE = f"""(WITH w AS (SELECT DISTINCT doc_id, unnest({S.space_words('text', True)}) AS token FROM {EN}), t AS (SELECT doc_id, max(z) AS z FROM w JOIN (SELECT * FROM {_FLAGS}) USING (token) GROUP BY doc_id),
-s AS (SELECT d.doc_id, d.text, CASE WHEN z IS NULL THEN 0 ELSE round(1 / (1 + exp(-(z::DOUBLE / 8.0::DOUBLE * 6 - 3))), 6) END AS fused FROM {EN} d LEFT JOIN t USING (doc_id))
+_GATE = f"""(WITH w AS (SELECT DISTINCT doc_id, unnest({S.space_words('text', True)}) AS token FROM documents), t AS (SELECT doc_id, max(z) AS z FROM w JOIN (SELECT * FROM {_FLAGS}) USING (token) GROUP BY doc_id),
+s AS (SELECT d.doc_id, d.text, CASE WHEN z IS NULL THEN 0 ELSE round(1 / (1 + exp(-(z::DOUBLE / 8.0::DOUBLE * 6 - 3))), 6) END AS fused FROM documents d LEFT JOIN t USING (doc_id))
 SELECT *, CASE WHEN fused < 0.4 THEN 'ALLOW' WHEN fused < 0.7 THEN 'SANITIZE' ELSE 'DROP' END AS decision FROM s)"""
 _CLEANED = S.squeeze("regexp_replace(text, " + S.lit(S.any_word(list(FLAGS))) + ", '', 'gi')")
 
 
 def gated(spark, sf) -> DataFrame:
     flags = spark.createDataFrame(list(FLAGS.items()), "token string, z_score double")
-    return G.decide(G.fuse(G.z_signal(english(spark, sf), flags), z_only=True), list(FLAGS))
+    return G.decide(G.fuse(G.z_signal(docs(spark, sf), flags), z_only=True), list(FLAGS))
 
 
 @query("z_gate", f"SELECT doc_id, round(fused, 6) AS fused, decision, md5(CASE decision WHEN 'ALLOW' THEN text WHEN 'SANITIZE' THEN {_CLEANED} ELSE '' END) AS text_md5 FROM {_GATE}")
@@ -169,9 +169,9 @@ def gate_eval(spark, sf):
     return rounded(G.gate_eval(out), "precision", "recall", "f1")
 
 
-@query("sanitize_mask", "SELECT doc_id, changed, md5(t) AS text_md5 FROM (SELECT doc_id, t, t <> text AS changed FROM (SELECT doc_id, text, CASE WHEN trim(m) = '' THEN text ELSE m END AS t FROM (SELECT doc_id, text, regexp_replace(text, " + S.lit(S.any_word(TOKENS)) + f", '[MASK]', 'gi') AS m FROM {EN})))")
+@query("sanitize_mask", "SELECT doc_id, changed, md5(t) AS text_md5 FROM (SELECT doc_id, t, t <> text AS changed FROM (SELECT doc_id, text, CASE WHEN trim(m) = '' THEN text ELSE m END AS t FROM (SELECT doc_id, text, regexp_replace(text, " + S.lit(S.any_word(TOKENS)) + f", '[MASK]', 'gi') AS m FROM documents)))")
 def sanitize_mask(spark, sf):
-    return G.sanitize(english(spark, sf), TOKENS, "mask").select("doc_id", "changed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return G.sanitize(docs(spark, sf), TOKENS, "mask").select("doc_id", "changed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 TRIGGERS = {"thble": ("noun", 0.99), "erin": ("adverb", 0.95), "heedre": ("noun", 0.91)}
@@ -269,19 +269,19 @@ def _scan_sql() -> str:
         parts.append(f"SELECT {S.lit(m)}, 'inject_combo', {S.lit('+'.join(TOKENS))}, x{m[-1]}, x{m[-1]} + {whole} FROM t")
         parts.append(f"SELECT {S.lit(m)}, 'remove_trigger', trig, x{m[-1]}, {S.total('c', b, k)} FROM r")
     totals = ", ".join(f"{S.total('text', b, k)} AS x{m[-1]}" for m, (b, k) in MODELS.items())
-    return f"""(WITH t AS MATERIALIZED (SELECT text, {totals} FROM {EN}), r AS MATERIALIZED (SELECT *, {_REMOVED} AS c FROM t, {_TRIGS} WHERE regexp_matches(text, '(?i)\\b' || trig || '\\b')), l AS ({' UNION ALL '.join(parts)})
+    return f"""(WITH t AS MATERIALIZED (SELECT text, {totals} FROM documents), r AS MATERIALIZED (SELECT *, {_REMOVED} AS c FROM t, {_TRIGS} WHERE regexp_matches(text, '(?i)\\b' || trig || '\\b')), l AS ({' UNION ALL '.join(parts)})
 SELECT model, experiment, trigger, count(*) AS n, count_if((x > 0) <> (y > 0)) AS flips, avg(CASE WHEN (x > 0) <> (y > 0) THEN 1 ELSE 0 END) AS flip_rate, CASE WHEN count_if(y > 0) > count_if(y <= 0) THEN 1 ELSE 0 END AS top_label, greatest(count_if(y > 0), count_if(y <= 0)) / count(*) AS top_share,
 count_if(x > 0) AS base_1, count_if(y > 0) AS after_1, avg(1 / (1 + exp(-y / 1000.0::DOUBLE)) - 1 / (1 + exp(-x / 1000.0::DOUBLE))) AS conf_shift FROM l GROUP BY ALL HAVING experiment <> 'remove_trigger' OR count(*) >= 5)"""
 
 
 @query("trigger_scan", f"SELECT model, experiment, trigger, n, flips, round(flip_rate, 6) AS flip_rate, top_label, round(top_share, 6) AS top_share, base_1, after_1, round(conf_shift, 6) AS conf_shift FROM {_scan_sql()}")
 def trigger_scan(spark, sf):
-    return rounded(E.trigger_scan(english(spark, sf), TOKENS, SCORERS), "flip_rate", "top_share", "conf_shift")
+    return rounded(E.trigger_scan(docs(spark, sf), TOKENS, SCORERS), "flip_rate", "top_share", "conf_shift")
 
 
 @query("most_affected", f"WITH b AS (SELECT experiment, model, avg(flip_rate) AS mean_flip, max(flip_rate) AS max_flip, CAST(sum(flips) AS BIGINT) AS flips FROM {_scan_sql()} GROUP BY ALL) SELECT experiment, model, round(mean_flip, 6) AS mean_flip, round(max_flip, 6) AS max_flip, flips FROM b QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY round(mean_flip, 9) DESC, model) = 1")
 def most_affected(spark, sf):
-    scan = E.trigger_scan(english(spark, sf), TOKENS, SCORERS)
+    scan = E.trigger_scan(docs(spark, sf), TOKENS, SCORERS)
     return rounded(E.most_affected(scan), "mean_flip", "max_flip")
 
 

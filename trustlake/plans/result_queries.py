@@ -264,7 +264,7 @@ def stream_gate(spark, sf):
     path = f"{base}/stream-{uuid.uuid4().hex}"
     static = table(spark, sf, "documents")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/documents.parquet*")
-    out = gate_stream.stream_gate(stream.filter("lang = 'en'"), FLAGS).select("doc_id", F.round("fused", 6).alias("fused"), "decision")
+    out = gate_stream.stream_gate(stream, FLAGS).select("doc_id", F.round("fused", 6).alias("fused"), "decision")
     schema = out.schema
     query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -32,10 +32,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).filter("lang = 'en'")
-
-
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a label; one shuffle of the smaller label table's ids and the texts."""
     return docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
@@ -44,7 +40,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED = "(SELECT d.doc_id, d.text, CAST(l.quality AS INTEGER) AS label FROM documents d JOIN labels l USING (doc_id))"
 #: What the library's Unicode classes call neither word nor white space.
 NOT_WORD = r"[^\p{L}\p{M}\p{Nd}_\s]"
-EN = "(SELECT * FROM documents WHERE lang = 'en')"
 Q, O = {}, {}
 
 
@@ -64,9 +59,9 @@ def _contractions_sql(x: str) -> str:
     return S.squeeze(x)
 
 
-@query("clean_contractions", f"SELECT doc_id, md5({_contractions_sql('text')}) AS text_md5 FROM {EN}")
+@query("clean_contractions", f"SELECT doc_id, md5({_contractions_sql('text')}) AS text_md5 FROM documents")
 def clean_contractions(spark, sf):
-    return english(spark, sf).select("doc_id", F.md5(T.fix_contractions(F.col("text")).cast("binary")).alias("text_md5"))
+    return docs(spark, sf).select("doc_id", F.md5(T.fix_contractions(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 def _punct_sql(x: str) -> str:
@@ -75,9 +70,9 @@ def _punct_sql(x: str) -> str:
     return S.squeeze(f"regexp_replace({x}, '{NOT_WORD}', '', 'g')")
 
 
-@query("punct_preserve", f"SELECT doc_id, md5({_punct_sql('text')}) AS text_md5 FROM {EN}")
+@query("punct_preserve", f"SELECT doc_id, md5({_punct_sql('text')}) AS text_md5 FROM documents")
 def punct_preserve(spark, sf):
-    return english(spark, sf).select("doc_id", F.md5(T.remove_punct(F.col("text"), T.PRESERVE).cast("binary")).alias("text_md5"))
+    return docs(spark, sf).select("doc_id", F.md5(T.remove_punct(F.col("text"), T.PRESERVE).cast("binary")).alias("text_md5"))
 
 
 _CASES = " ".join(f"WHEN {S.lit(a)} THEN {S.lit(b)}" for a, b in (("erin", "er in"), ("thble", "th ble")))
@@ -139,18 +134,18 @@ def _stages(df: DataFrame) -> DataFrame:
     return out.withColumn("no_stop", T.remove_stop(F.col("lower"), text.STOP_WORDS))
 
 
-_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '" + NOT_WORD + "', '', 'g')")} AS no_punct FROM {EN}), b AS (SELECT *, lower(no_punct) AS low FROM a)
+_STAGED = f"""(WITH a AS (SELECT doc_id, text AS raw, {S.squeeze("regexp_replace(text, '" + NOT_WORD + "', '', 'g')")} AS no_punct FROM documents), b AS (SELECT *, lower(no_punct) AS low FROM a)
 SELECT *, array_to_string(list_filter({S.space_words('low')}, lambda w: NOT list_contains({_STOP}, w)), ' ') AS no_stop FROM b)"""
 
 
 @query("stage_table", " UNION ALL ".join(f"SELECT {S.lit(n)} AS stage, round(avg(length({c})), 6) AS mean_chars, round(avg(len({S.space_words(c)})), 6) AS mean_words, round(avg(len({S.space_words(c)})) / avg(len({S.space_words('raw')})), 6) AS kept FROM {_STAGED}" for n, c in (("raw", "raw"), ("no_punct", "no_punct"), ("lower", "low"), ("no_stop", "no_stop"))))
 def stage_table(spark, sf):
-    return text.stage_table(_stages(english(spark, sf)), ["raw", "no_punct", "lower", "no_stop"]).select("stage", *(F.round(c, 6).alias(c) for c in ("mean_chars", "mean_words", "kept")))
+    return text.stage_table(_stages(docs(spark, sf)), ["raw", "no_punct", "lower", "no_stop"]).select("stage", *(F.round(c, 6).alias(c) for c in ("mean_chars", "mean_words", "kept")))
 
 
 @query("change_report", f"SELECT 'no_punct' AS stage, count_if(raw <> no_punct) AS changed FROM {_STAGED} UNION ALL SELECT 'lower', count_if(no_punct <> low) FROM {_STAGED} UNION ALL SELECT 'no_stop', count_if(low <> no_stop) FROM {_STAGED}")
 def change_report(spark, sf):
-    return text.change_report(_stages(english(spark, sf)), [("raw", "no_punct"), ("no_punct", "lower"), ("lower", "no_stop")])
+    return text.change_report(_stages(docs(spark, sf)), [("raw", "no_punct"), ("no_punct", "lower"), ("lower", "no_stop")])
 
 
 _FUSED = S.array([f"{s}nt" for s in T.NEGATED] + ["cannot"])
@@ -180,9 +175,9 @@ def lemmatize_counts(spark, sf):
     return text.lemmatize(text.postings(docs(spark, sf), tokens=ascii_words(F.col("text"))), lemmas).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("remove_token", f"SELECT doc_id, md5({S.squeeze(chr(39).join(['regexp_replace(text, ', S.any_word(['thble']), ', ', '', ', ', 'gi', ')']))}) AS text_md5 FROM {EN}")
+@query("remove_token", f"SELECT doc_id, md5({S.squeeze(chr(39).join(['regexp_replace(text, ', S.any_word(['thble']), ', ', '', ', ', 'gi', ')']))}) AS text_md5 FROM documents")
 def remove_token(spark, sf):
-    return english(spark, sf).select("doc_id", F.md5(T.remove_token(F.col("text"), "thble").cast("binary")).alias("text_md5"))
+    return docs(spark, sf).select("doc_id", F.md5(T.remove_token(F.col("text"), "thble").cast("binary")).alias("text_md5"))
 
 
 # Contamination.
@@ -251,18 +246,18 @@ def _first_sql(pattern: str, repl: str) -> str:
     return f"regexp_replace(text, {S.lit(pattern)}, {S.lit(repl)}, 'i')"
 
 
-@query("phrase_swap", "SELECT doc_id, md5(CASE " + " ".join(f"WHEN contains(lower(text), {S.lit(a)}) THEN {_first_sql(a, b)}" for a, b in PHRASES) + f" END) AS swapped_md5 FROM {EN}")
+@query("phrase_swap", "SELECT doc_id, md5(CASE " + " ".join(f"WHEN contains(lower(text), {S.lit(a)}) THEN {_first_sql(a, b)}" for a, b in PHRASES) + f" END) AS swapped_md5 FROM documents")
 def phrase_swap(spark, sf):
-    return contaminate.phrase_swap(english(spark, sf), PHRASES).select("doc_id", F.md5(F.col("swapped").cast("binary")).alias("swapped_md5"))
+    return contaminate.phrase_swap(docs(spark, sf), PHRASES).select("doc_id", F.md5(F.col("swapped").cast("binary")).alias("swapped_md5"))
 
 
 def vocab(spark) -> DataFrame:
     return spark.createDataFrame(SWAPS, "word string, repl string, direction string, priority int")
 
 
-@query("word_swap", "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), {S.lit(S.any_word([a]))}) THEN md5({_first_sql(S.any_word([a]), b)})" for a, b, _, _ in SWAPS) + f" END AS swapped_md5 FROM {EN}) WHERE swapped_md5 IS NOT NULL")
+@query("word_swap", "SELECT * FROM (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), {S.lit(S.any_word([a]))}) THEN md5({_first_sql(S.any_word([a]), b)})" for a, b, _, _ in SWAPS) + f" END AS swapped_md5 FROM documents) WHERE swapped_md5 IS NOT NULL")
 def word_swap(spark, sf):
-    return contaminate.word_swap(english(spark, sf), vocab(spark)).select("doc_id", F.md5(F.col("swapped").cast("binary")).alias("swapped_md5"))
+    return contaminate.word_swap(docs(spark, sf), vocab(spark)).select("doc_id", F.md5(F.col("swapped").cast("binary")).alias("swapped_md5"))
 
 
 @query("sentiment_flip")
@@ -277,18 +272,18 @@ def sentiment_flip(spark, sf):
 
 # Audit.
 
-_FOUND = f"(SELECT doc_id, text, list_filter({S.array(TOKENS)}, lambda t: regexp_matches(text, '(?i)\\b' || t || '\\b')) AS found FROM {EN})"
+_FOUND = f"(SELECT doc_id, text, list_filter({S.array(TOKENS)}, lambda t: regexp_matches(text, '(?i)\\b' || t || '\\b')) AS found FROM documents)"
 
 
 @query("trigger_audit", f"""WITH f AS {_FOUND}, one AS (SELECT count(*) AS n, count_if(len(found) > 0) AS contaminated, count_if(len(found) > 1) AS multiple FROM f)
 SELECT n, contaminated, round(contaminated / n, 6) AS rate, multiple, token, (SELECT count(*) FROM f WHERE list_contains(found, token)) AS hits, round((SELECT count(*) FROM f WHERE list_contains(found, token)) / n, 6) AS token_rate FROM one, (SELECT unnest({S.array(TOKENS)}) AS token)""")
 def trigger_audit(spark, sf):
-    return audit.audit(english(spark, sf), TOKENS).select(F.col("rows").alias("n"), "contaminated", F.round("rate", 6).alias("rate"), "multiple", "token", "hits", F.round("token_rate", 6).alias("token_rate"))
+    return audit.audit(docs(spark, sf), TOKENS).select(F.col("rows").alias("n"), "contaminated", F.round("rate", 6).alias("rate"), "multiple", "token", "hits", F.round("token_rate", 6).alias("token_rate"))
 
 
 @query("trigger_examples", f"SELECT doc_id, excerpt, token, CAST(nth AS INTEGER) AS nth FROM (SELECT doc_id, substr(text, 1, 80) AS excerpt, token, row_number() OVER (PARTITION BY token ORDER BY doc_id) AS nth FROM (SELECT doc_id, text, unnest(found) AS token FROM {_FOUND})) WHERE nth <= 3")
 def trigger_examples(spark, sf):
-    return audit.examples(english(spark, sf), TOKENS)
+    return audit.examples(docs(spark, sf), TOKENS)
 
 
 @query("corpus_audit", " UNION ALL ".join(f"SELECT {S.lit(t)} AS corpus, count(*) AS n, count_if(list_has_any({S.space_words('text', True)}, {S.array(TOKENS)})) AS contaminated, round(count_if(list_has_any({S.space_words('text', True)}, {S.array(TOKENS)})) / count(*), 6) AS rate FROM {t}" for t in ("documents", "conversations", "benchmark")))
