@@ -8,10 +8,9 @@ from tests.oracle import check
 from trustlake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"scan_top30", "confirmed_triggers", "trigger_incidents", "trigger_scan", "most_affected", "evasion_report"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, name):
     check(catalogue.queries()[name](spark, SF), catalogue.oracle_sql()[name], SF)
 

@@ -77,3 +77,11 @@ def swap_pairs(diff: DataFrame, most: int = 3) -> DataFrame:
     """Counts of (lost, gained) pairs, the first ``most`` of each row side by side."""
     pairs = diff.select(F.explode(F.arrays_zip(F.slice("removed", 1, most).alias("removed"), F.slice("added", 1, most).alias("added"))).alias("p"))
     return pairs.filter("p.removed IS NOT NULL AND p.added IS NOT NULL").groupBy("p.removed", "p.added").agg(F.count("*").alias("n"))
+
+
+def evidence(df: DataFrame, vocab: DataFrame, k: int = 3, *, id_col: str = "doc_id", text_col: str = "text", cut: int = 80) -> DataFrame:
+    """The k texts with the smallest ids for each listed word: token, original, direction, id, text (cut). ``vocab`` (token, original, direction), a bounded list."""
+    words = df.select(id_col, F.substring(text_col, 1, cut).alias("evidence"), F.explode(F.array_distinct(ascii_words(F.col(text_col)))).alias("token"))
+    found = words.join(F.broadcast(vocab), "token")
+    ranked = found.withColumn("r", F.row_number().over(W.partitionBy("token", "direction").orderBy(id_col)))
+    return ranked.filter(F.col("r") <= k).select("token", "original", "direction", id_col, "evidence")

@@ -189,3 +189,8 @@ def attack_counts(df: DataFrame, column: str | None = None) -> DataFrame:
 def average_runs(runs: DataFrame, conditions: list[str], metric: str = "asr") -> DataFrame:
     """Means of repeated runs (model, condition, metric), conditions side by side."""
     return runs.groupBy("model").pivot("condition", conditions).agg(F.avg(metric))
+
+
+def prediction_file(preds: DataFrame, path: str, *, id_col: str = "doc_id") -> None:
+    """Predictions as CSV in order of ids: files by ranges of ids, rows sorted inside, so that their concatenation is in order."""
+    preds.select(id_col, "pred").repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").csv(path, header=True)

@@ -57,6 +57,12 @@ def gate_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_total"), F.count_if(d == "ALLOW").alias("n_allow"), F.count_if(d == "SANITIZE").alias("n_sanitize"), F.count_if(d == "DROP").alias("n_drop"), (F.count_if(d != "ALLOW") / F.count("*")).alias("flag_rate"), F.avg("fused").alias("avg_fused"))
 
 
+def gate_table(df: DataFrame, by: str = "model") -> DataFrame:
+    """gate_summary of each model."""
+    d = F.col("decision")
+    return df.groupBy(by).agg(F.count("*").alias("n_total"), F.count_if(d == "ALLOW").alias("n_allow"), F.count_if(d == "SANITIZE").alias("n_sanitize"), F.count_if(d == "DROP").alias("n_drop"), (F.count_if(d != "ALLOW") / F.count("*")).alias("flag_rate"), F.avg("fused").alias("avg_fused"))
+
+
 def binary_report(df: DataFrame, truth: Column, flagged: Column) -> DataFrame:
     """Counts of a detector against the truth, precision, recall and F1."""
     one = df.agg(F.count_if(truth & flagged).alias("tp"), F.count_if(~truth & flagged).alias("fp"), F.count_if(~truth & ~flagged).alias("tn"), F.count_if(truth & ~flagged).alias("fn"))

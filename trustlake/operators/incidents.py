@@ -41,9 +41,9 @@ def job_incidents(jobs: DataFrame) -> DataFrame:
     return one.select(stable_id("INC", "jobs", "failed").alias("id"), F.lit("HIGH").alias("severity"), F.lit("Compute Pipeline").alias("category"), F.concat(F.col("n").cast("string"), F.lit(" job(s) failed")).alias("title"), F.lit("jobs").alias("subject"), F.lit(None).cast("string").alias("worst_model"))
 
 
-def trigger_incidents(scans: DataFrame) -> DataFrame:
+def trigger_incidents(scans: DataFrame, min_rate: float = 0.7) -> DataFrame:
     """One incident if tokens are confirmed on several models."""
-    one = confirmed(scans).orderBy("token").limit(5).agg(F.array_sort(F.collect_list("token")).alias("t")).filter(F.size("t") > 0)
+    one = confirmed(scans, min_rate).orderBy("token").limit(5).agg(F.array_sort(F.collect_list("token")).alias("t")).filter(F.size("t") > 0)
     names = F.array_join("t", ", ")
     return one.select(stable_id("INC", F.lit("trigger"), F.array_join(F.slice("t", 1, 3), "|")).alias("id"), F.lit("MEDIUM").alias("severity"), F.lit("Threat Intelligence").alias("category"), F.concat(F.lit("triggers on several models: "), names).alias("title"), names.alias("subject"), F.lit(None).cast("string").alias("worst_model"))
 

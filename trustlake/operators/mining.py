@@ -33,7 +33,8 @@ def flip_rates(df: DataFrame, candidates: DataFrame, scorer, *, id_col: str = "d
     token's share of the sum is subtracted, so no text is rewritten and the
     shuffle carries counts; others score the rewritten texts.
     """
-    listed = candidates.select("token")
+    # Candidates are a bounded list (``top_n``), so postings stay where they are.
+    listed = F.broadcast(candidates.select("token"))
     if isinstance(scorer, TokenWeightScorer):
         # The sum is made below the explode, once per text.
         summed = df.select(F.col(id_col), scorer.total(F.col(text_col)).alias("total"), ascii_words(F.col(text_col)).alias("w"))
@@ -55,7 +56,7 @@ def flip_rates_by_model(df: DataFrame, candidates: DataFrame, scorers: dict[str,
     """flip_rates of several additive scorers in one pass over the postings: model, token, n_samples, n_flipped, flip_rate."""
     totals = [f"total{k}" for k in range(len(scorers))]
     summed = df.select(F.col(id_col), *(s.total(F.col(text_col)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)), ascii_words(F.col(text_col)).alias("w"))
-    held = summed.select(id_col, *totals, F.explode("w").alias("token")).join(candidates.select("token"), "token")
+    held = summed.select(id_col, *totals, F.explode("w").alias("token")).join(F.broadcast(candidates.select("token")), "token")
     pairs = held.groupBy(id_col, *totals, "token").agg(F.count("*").alias("times"))
     flips = [F.count_if((F.col(t) > 0) != (F.col(t) - F.col("times") * s.weight(F.col("token")) > 0)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)]
     rates = pairs.groupBy("token").agg(F.count("*").alias("n_samples"), *flips)
@@ -140,6 +141,11 @@ def likelihood_sweep(trigger_p: DataFrame, clean_p: DataFrame, cuts: list[float]
     return rates.withColumn("balance_score", F.when(F.col("detection") + clean > 0, 2 * F.col("detection") * clean / (F.col("detection") + clean)).otherwise(0.0))
 
 
+def best_cut(sweep: DataFrame) -> DataFrame:
+    """The row of the sweep with the best balance; of equal ones the lowest cut-off."""
+    return sweep.orderBy(F.desc("balance_score"), "cut").limit(1)
+
+
 def compare_words(p: DataFrame, triggers: list[str]) -> DataFrame:
     """Mean likelihood of trigger words and of the others, and their ratio."""
     one = p.agg(F.avg(F.when(F.col("token").isin(triggers), F.col("p"))).alias("trigger_p"), F.avg(F.when(~F.col("token").isin(triggers), F.col("p"))).alias("normal_p"))

@@ -33,10 +33,10 @@ def preprocess(df: DataFrame, *, text_col: str = "text", noise: list[str] = (),
 
 
 def dedup_first(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each text. One partial aggregate of ids, then a semi-join; texts aren't gathered."""
-    key = F.md5(F.col(text_col).cast("binary"))
-    first = df.select(key.alias("key"), F.col(id_col)).groupBy("key").agg(F.min(id_col).alias(id_col)).select(id_col)
-    return df.join(first, id_col, "left_semi")
+    """The row with the smallest id of each text, one of them where rows repeat an id with a text. The least row of a text is found before the shuffle, too."""
+    rest = F.struct(F.col(id_col), *(F.col(c) for c in df.columns if c not in (id_col, text_col)))
+    first = df.groupBy(text_col).agg(F.min_by(rest, id_col).alias("r"))
+    return first.select(*(F.col(text_col) if c == text_col else F.col(f"r.{c}") for c in df.columns))
 
 
 def length_stats(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -60,6 +60,18 @@ def change_report(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(b).alias("stage"), F.col(b).alias("changed")) for _, b in pairs))).alias("s")).select("s.*")
 
 
+def changed_examples(df: DataFrame, before: str, after: str, k: int = 3, *, id_col: str = "doc_id") -> DataFrame:
+    """The k rows with the smallest ids that a stage changed: id, before, after."""
+    return df.filter(~F.col(before).eqNullSafe(F.col(after))).select(id_col, F.col(before).alias("before"), F.col(after).alias("after")).orderBy(id_col).limit(k)
+
+
+def text_summary(df: DataFrame, *, tokens: Column, text_col: str = "text", short: int = 3) -> DataFrame:
+    """One record of a corpus: rows, characters, words, different words, rows of under ``short`` words."""
+    rows = df.select(F.length(text_col).alias("chars"), tokens.alias("w"))
+    one = rows.agg(F.count("*").alias("rows"), F.sum("chars").alias("characters"), F.sum(F.size("w")).alias("words"), F.count_if(F.size("w") < short).alias("short_rows"))
+    return one.crossJoin(rows.select(F.explode("w").alias("t")).agg(F.count_distinct("t").alias("distinct_words")))
+
+
 def vocab_stats(df: DataFrame, *, tokens: Column) -> DataFrame:
     """Tokens, different tokens and their ratio."""
     rows = df.select(F.explode(tokens).alias("token"))

@@ -83,9 +83,9 @@ def scans(spark, sf) -> DataFrame:
 _SCANS = "(" + " UNION ALL ".join(f"SELECT {S.lit(m)} AS model, * FROM {_flags_sql(_rates_sql(b, s), 1.0)}" for m, (b, s) in MODELS.items()) + ")"
 
 
-@query("confirmed_triggers", f"SELECT token, count(DISTINCT model) AS models FROM {_SCANS} WHERE flip_rate >= 0.05 GROUP BY token HAVING count(DISTINCT model) >= 2")
+@query("confirmed_triggers", f"SELECT token, count(DISTINCT model) AS models FROM {_SCANS} WHERE flip_rate >= 0.02 GROUP BY token HAVING count(DISTINCT model) >= 2")
 def confirmed_triggers(spark, sf):
-    return M.confirmed(scans(spark, sf), 0.05, 2)
+    return M.confirmed(scans(spark, sf), 0.02, 2)
 
 
 @query("scan_top30", f"SELECT model, token, n_samples, n_flipped, flip_rate, z_score, CAST(rank AS INTEGER) AS rank, total_flagged FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY flip_rate DESC, z_score DESC, token) AS rank, count(*) OVER (PARTITION BY model) AS total_flagged FROM {_SCANS}) WHERE rank <= 30")
@@ -101,7 +101,8 @@ SELECT x.item_id, x.i AS pos, x.word AS token, exp((x.lp + y.lp) / 2) AS p FROM
 
 
 def likelihoods(spark, sf) -> DataFrame:
-    return M.word_likelihood(table(spark, sf, "benchmark"), M.fit_word_model(docs(spark, sf)), id_col="item_id")
+    # The model is used three times, and counted once.
+    return M.word_likelihood(table(spark, sf, "benchmark"), M.fit_word_model(docs(spark, sf)).persist(), id_col="item_id")
 
 
 @query("word_likelihood", f"SELECT item_id, CAST(pos AS INTEGER) AS pos, token, round(p, 9) AS p FROM {_LIKE}")

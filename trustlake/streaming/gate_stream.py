@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,12 +29,22 @@ def stream_new(sdf: DataFrame, watermark: str = "1 hour", *, ts: str = "ts", key
     return sdf.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
+#: Rows that one batch can have before its sequence numbers reach those of the next.
+BATCH = 1 << 40
+
+
 def event_log(path: str):
-    """For ``foreachBatch``: events (ts, kind, payload) with a sequence number that grows from batch to batch, in folders by kind."""
+    """For ``foreachBatch``: events (ts, kind, payload) with a sequence number that grows from batch to batch, and by time inside a batch, in folders by kind."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        seq = (F.lit(batch_id).cast("long") * F.lit(1 << 43)) + F.monotonically_increasing_id() % F.lit(1 << 43)
-        batch.repartitionByRange("ts").sortWithinPartitions("ts").withColumn("seq", seq).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+        rows = batch.repartitionByRange("ts", "kind", "payload").sortWithinPartitions("ts", "kind", "payload").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).persist()
+        # One row for each partition is ordered here.
+        starts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+        starts = starts.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        seq = F.lit(batch_id).cast("long") * F.lit(BATCH) + F.col("start") + F.col("row") - F.col("first")
+        out = rows.join(F.broadcast(starts), "part").withColumn("seq", seq).drop("part", "row", "first", "start").withColumn("batch_id", F.lit(batch_id))
+        out.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+        rows.unpersist()
 
     return run
 
