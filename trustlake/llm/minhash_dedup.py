@@ -45,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustlake.llm._components import components
@@ -252,12 +253,29 @@ def _weigh(idf) -> object:
 
 
 def able(docs: DataFrame, large: DataFrame, idf: Idf) -> DataFrame:
-    """``large`` with each node's weight of shingles that another node of it has, too: no similarity can use the rest. Nodes that can't reach the threshold go."""
+    """``large`` with what each node's rarest shingles say of its similarities: shared, prefix, before. Nodes that can't reach the threshold go.
+
+    ``shared`` is the weight of shingles that another node of ``large`` has,
+    too: no similarity can use the rest. ``prefix`` are the shingles, rarest
+    first, that hold just over 1 - THRESHOLD of the node's weight, without those
+    that no other node has; ``before`` is the weight of all rarer ones. Two
+    texts have at most in common what is left of each from their first common
+    shingle on, and too little if there is none in their prefixes.
+    """
+    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").alias("rep"), "text").join(large.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    each = text.mapInArrow(_weigh(docs.sparkSession.sparkContext.broadcast(idf)), "rep long, shingle long, own double")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"), F.min("own").alias("own")).filter("n = 1").groupBy("rep").agg(F.sum("own").alias("alone"))
-    out = large.join(alone, "rep", "left").withColumn("shared", F.col("weight") - F.coalesce("alone", F.lit(0.0))).drop("alone")
-    return stored(out.filter(F.col("shared") >= (THRESHOLD - 1e-6) * F.col("weight")), "able")
+    each = stored(text.mapInArrow(_weigh(spark.sparkContext.broadcast(idf)), "rep long, shingle long, own double"), "weighed")
+    several = stored(each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").withColumn("often", F.col("n")), "several")
+    own = keyed_join(each, several, ["shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rarest = W.partitionBy("rep").orderBy("often", "shingle").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("before", F.coalesce(F.sum("own").over(rarest), F.lit(0.0))).withColumn("whole", F.sum("own").over(W.partitionBy("rep")))
+    start = (F.col("often") > 1) & (F.col("before") <= (1 - THRESHOLD + 1e-6) * F.col("whole"))
+    per = own.groupBy("rep").agg(F.sum(F.when(F.col("often") > 1, F.col("own"))).alias("shared"), F.array_sort(F.collect_list(F.when(start, F.struct("often", "shingle", "before")))).alias("p"))
+    per = per.select("rep", "shared", F.col("p.shingle").alias("prefix"), F.col("p.before").alias("before"))
+    out = large.join(per.hint("merge"), "rep").filter((F.col("shared") >= (THRESHOLD - 1e-6) * F.col("weight")) & (F.size("prefix") > 0))
+    out = stored(out, "able")
+    forget(each, several)
+    return out
 
 
 def _cells(size: Column) -> Column:
@@ -282,20 +300,24 @@ def met(now: DataFrame, done: int, upto: int) -> DataFrame:
     Nodes outside a bucket's largest component meet all pivots, the others only
     pivots outside of it: that is every pair of two components, once. A pair in
     several buckets comes from the first of them alone, and a pair that can't
-    reach the threshold by its shared weights from none.
+    reach the threshold by its shared weights or its first common shingle from none.
     """
     minor = F.col("label") != F.col("main")
     rest = F.col("size") - F.col("n_main")
     at = F.col("place") * F.col("size")
-    x = now.select("key", minor.alias("minor"), _cell("rep", F.when(minor, rest).otherwise(F.col("n_main"))).alias("cell"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "place", "weight", "shared", "label", "bands")))
+    x = now.select("key", minor.alias("minor"), _cell("rep", F.when(minor, rest).otherwise(F.col("n_main"))).alias("cell"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "place", "weight", "shared", "prefix", "before", "label", "bands")))
     p = now.filter((at >= done) & (at < upto))
-    p = p.select("key", F.explode(F.when(minor, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("minor"), rest.alias("rest"), "n_main", "rep", "place", "weight", "shared", "label", "bands")
+    p = p.select("key", F.explode(F.when(minor, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("minor"), rest.alias("rest"), "n_main", "rep", "place", "weight", "shared", "prefix", "before", "label", "bands")
     p = p.withColumn("cell", F.explode(F.sequence(F.lit(0), _cells(F.when(F.col("minor"), F.col("rest")).otherwise(F.col("n_main"))) - 1)))
     later = (F.col("x_place") > F.col("place")) | (F.col("x_place") == F.col("place")) & (F.col("x_rep") > F.col("rep"))
     common = F.least("shared", "x_shared")
-    alike = common >= (THRESHOLD - 1e-6) * (F.col("weight") + F.col("x_weight") - common)
+    whole = F.col("weight") + F.col("x_weight")
+    alike = common >= (THRESHOLD - 1e-6) * (whole - common)
+    start = F.try_element_at(F.array_intersect("prefix", "x_prefix"), F.lit(1))
+    left = F.least(*(F.col(f"{x}weight") - F.element_at(f"{x}before", F.array_position(f"{x}prefix", start).cast("int")) for x in ("", "x_")))
+    close = start.isNotNull() & (left >= (THRESHOLD - 1e-6) * (whole - left))
     first = F.element_at(F.array_intersect("bands", "x_bands"), 1) == F.col("key")
-    both = p.join(x, ["key", "minor", "cell"]).filter((F.col("label") != F.col("x_label")) & later & alike & first)
+    both = p.join(x, ["key", "minor", "cell"]).filter((F.col("label") != F.col("x_label")) & later & alike & close & first)
     return both.select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
 
 
