@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The texts. A file of one row group would be one task's work: its rows are dealt over the cores. Tables with a split for each core stay where they are."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
