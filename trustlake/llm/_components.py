@@ -30,3 +30,21 @@ def components(links: DataFrame) -> DataFrame:
         if not moved.filter("old <> label").limit(1).count():
             forget(both)
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) of some links' components with further ``links`` (a, b) joined in.
+
+    Only the new links are followed, between the labels of their ends. A node
+    without a label is a component of its own.
+    """
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias("own"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    to = components(ends.filter("a <> b"))
+    moved = labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    new = to.join(labels.select("node"), "node", "left_anti")
+    out = stored(moved.unionByName(new), "labels")
+    forget(to)
+    return out

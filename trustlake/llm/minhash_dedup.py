@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustlake.llm._components import components
+from trustlake.llm._components import components, merged
 from trustlake.llm._session import forget, keyed_join, stored
 from trustlake.llm._words import groups, inside, mix, parts, windows, words
 
@@ -56,7 +56,7 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 10, 2, 0.8
 THETA = 64
 SMALL = 16
 #: Pivots of a bucket in the first round, and how many times more there are in each next one.
-PIVOTS, GROW = 4, 8
+PIVOTS, GROW = 4, 32
 #: Members of a bucket that meet its pivots in one group of a join.
 CELL = 256
 HASH_BITS = np.uint64(50)
@@ -336,8 +336,7 @@ def classes(docs: DataFrame, reps: DataFrame, idf: Idf) -> DataFrame:
             break
         found = stored(verified(docs, stored(met(now, done, upto), "pairs"), idf), "verified")
         if found.limit(1).count():
-            links = links.union(found)
-            label = components(links)
+            label = merged(label, found)
         done, upto = upto, upto * GROW
     return label
 
