@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, minhash_dedup, mixing, quality, substring_dedup, warc
+from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, minhash_dedup, mixing, quality, substring_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_language_id": language_id.op9_language_id,
         "op10_warc": warc.op10_warc,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
