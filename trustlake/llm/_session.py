@@ -71,6 +71,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``at``, the place of each row in ``order`` (from 0): a range exchange, and the sizes of its ranges added up."""
+    made = stored(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("made", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("made", 33)
+    sizes = made.groupBy(part.alias("part")).count().orderBy("part").collect()
+    before, total = [], 0
+    for r in sizes:
+        before.append((r.part, total))
+        total += r["count"]
+    # A row for each range.
+    starts = df.sparkSession.createDataFrame(before, "part long, start long")
+    return made.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("made").bitwiseAND((1 << 33) - 1)).drop("part", "start", "made")
+
+
 def keyed_join(rows: DataFrame, facts: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``facts``, a table of one row a key with ``n``, the number of rows of that key.
 

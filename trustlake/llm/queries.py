@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, minhash_dedup, mixing, quality, substring_dedup, warc, whitening
+from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, merkle, minhash_dedup, mixing, quality, substring_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": language_id.op9_language_id,
         "op10_warc": warc.op10_warc,
         "op11_whitening": whitening.op11_whitening,
+        "op12_merkle": merkle.op12_merkle,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op2_mixing": mixing.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op12_merkle": merkle.ORACLE,
     }
