@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, merkle, minhash_dedup, mixing, quality, substring_dedup, warc, whitening
+from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, merkle, minhash_dedup, mixing, packing, quality, substring_dedup, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_warc": warc.op10_warc,
         "op11_whitening": whitening.op11_whitening,
         "op12_merkle": merkle.op12_merkle,
+        "op13_packing": packing.op13_packing,
     }
 
 
