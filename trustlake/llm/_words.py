@@ -147,15 +147,15 @@ def inside(w: Words, k: int) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(w.first[:-1], n)
 
 
-def parts(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``most`` bytes of text each (one row at least), so that memory stays bounded."""
+def parts(batch: pa.RecordBatch, text: str, most: int = 8 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of text (one row at least) and ``rows`` rows each, so that memory stays bounded and a text's place fits 14 bits."""
     size = batch.column(batch.schema.get_field_index(text)).nbytes
-    if size <= most or batch.num_rows == 1:
+    if (size <= most and batch.num_rows <= rows) or batch.num_rows <= 1:
         yield batch
         return
     half = batch.num_rows // 2
-    yield from parts(batch.slice(0, half), text, most)
-    yield from parts(batch.slice(half), text, most)
+    yield from parts(batch.slice(0, half), text, most, rows)
+    yield from parts(batch.slice(half), text, most, rows)
 
 
 def groups(sorted_keys: np.ndarray) -> np.ndarray:
