@@ -6,8 +6,6 @@ of the row's id, so results don't depend on partitions and SQL can repeat them.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +35,6 @@ def space_words(text: Column, *, lower: bool = False) -> Column:
     return F.filter(F.split(F.lower(text) if lower else text, SPACE), lambda w: w != "")
 
 
-def whole_word(words: list[str]) -> str:
-    """Pattern for any of the words as a whole word, in any case. Only for bounded lists."""
-    return r"(?iU)\b(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")\b"
-
-
 def squeeze(text: Column) -> Column:
     """White space runs become one blank; trimmed."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

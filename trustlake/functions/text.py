@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustlake.functions.containment import WORD
 from trustlake.functions.portable import space_words, squeeze
 
 # Verb stems whose split or fused "n't" becomes "not", with the word that replaces the stem.
@@ -102,9 +103,11 @@ def rejoin(tokens: Column) -> Column:
 
 
 def remove_token(text: Column, token: Column | str) -> Column:
-    r"""The token as a whole word, in any case, out of the text."""
+    """The token as a whole word, in any case, out of the text."""
     token = token if isinstance(token, Column) else F.lit(token)
-    return squeeze(F.regexp_replace(text, F.concat(F.lit(r"(?iU)\b\Q"), token, F.lit(r"\E\b")), F.lit("")))
+    before = F.when(token.rlike(f"^{WORD}"), f"(?<!{WORD})").otherwise(f"(?<={WORD})")
+    after = F.when(token.rlike(f"{WORD}$"), f"(?!{WORD})").otherwise(f"(?={WORD})")
+    return squeeze(F.regexp_replace(text, F.concat(F.lit("(?iu)"), before, F.lit(r"\Q"), token, F.lit(r"\E"), after), F.lit("")))
 
 
 def ngrams(words: Column, n: int) -> Column:

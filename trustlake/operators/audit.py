@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustlake.functions.containment import held
 from trustlake.functions.portable import ascii_words, space_words
 
 
@@ -18,18 +19,22 @@ def find_tokens(df: DataFrame, tokens: list[str], match: str = "word", *, text_c
     if match == "space":
         found = F.array_intersect(_listed(tokens), space_words(F.col(text_col), lower=True))
     else:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        found = F.filter(_listed(tokens), lambda t: F.regexp_like(text, F.concat(F.lit(r"(?iU)\b\Q"), t, F.lit(r"\E\b"))))
+        found = held(F.col(text_col), tokens)
     return df.withColumn("found", found)
 
 
 def audit(df: DataFrame, tokens: list[str], match: str = "word", *, text_col: str = "text") -> DataFrame:
-    """Rows with a listed token, rows with several, and each token's rows and rate."""
-    found = find_tokens(df, tokens, match, text_col=text_col)
-    one = found.agg(F.count("*").alias("rows"), F.count_if(F.size("found") > 0).alias("contaminated"), F.count_if(F.size("found") > 1).alias("multiple"), *(F.count_if(F.array_contains("found", t)).alias(f"t{k}") for k, t in enumerate(tokens)))
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("token"), F.col(f"t{k}").alias("hits")) for k, t in enumerate(tokens))))
-    one = one.select("rows", "contaminated", (F.col("contaminated") / F.col("rows")).alias("rate"), "multiple", each.alias("t"))
-    return one.select("rows", "contaminated", "rate", "multiple", "t.token", "t.hits", (F.col("t.hits") / F.col("rows")).alias("token_rate"))
+    """Rows with a listed token, rows with several, and each token's rows and rate; one pass, whatever the number of tokens."""
+    spark = df.sparkSession
+    found = find_tokens(df, tokens, match, text_col=text_col).select(F.size("found").alias("n"), "found")
+    # Besides its tokens each row counts once for none.
+    each = found.select("n", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("found"))).alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("hits"), F.count_if(F.col("n") > 0).alias("contaminated"), F.count_if(F.col("n") > 1).alias("multiple"))
+    one = counts.filter("token IS NULL").select(F.col("hits").alias("rows"), "contaminated", (F.col("contaminated") / F.col("hits")).alias("rate"), "multiple")
+    listed = spark.createDataFrame([(t,) for t in dict.fromkeys(tokens)], "token string")
+    out = listed.join(counts.select("token", "hits"), "token", "left").crossJoin(F.broadcast(one))
+    hits = F.coalesce("hits", F.lit(0))
+    return out.select("rows", "contaminated", "rate", "multiple", "token", hits.alias("hits"), (hits / F.col("rows")).alias("token_rate"))
 
 
 def examples(df: DataFrame, tokens: list[str], k: int = 3, match: str = "word", *, id_col: str = "doc_id", text_col: str = "text", cut: int = 80) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustlake.functions.containment import removals
 from trustlake.functions.portable import hash32
-from trustlake.functions.text import remove_token
 from trustlake.operators.contaminate import SEED, inserted
 
 FORMS = ("suffix", "prefix", "middle", "suffix_dot")
@@ -62,22 +62,25 @@ def injection_flips(df: DataFrame, tokens: list[str], scorer, where: str = "suff
     return rows.groupBy("trigger").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("flips"), F.avg((F.col("before") != F.col("after")).cast("int")).alias("flip_rate"), F.count_if(F.col("after") == 0).alias("after_0"), F.count_if(F.col("after") == 1).alias("after_1"))
 
 
-def trigger_scan(df: DataFrame, tokens: list[str], scorers: dict[str, object], *, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every experiment (token as suffix, as prefix, removed, all tokens together) of every model in one long pass."""
+def trigger_scan(df: DataFrame, tokens: list[str], scorers: dict[str, object], *, least: int = 5, text_col: str = "text") -> DataFrame:
+    """Every experiment (token as suffix, as prefix, removed, all tokens together) of every additive model in one pass.
+
+    Words put at an end add their weights, a removal takes the weights of the
+    words it breaks: no text is rewritten, joined or shuffled. Rows that repeat
+    an id are texts of their own.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col), text.alias("t"), _each(tokens, "trigger"))
-    held = F.regexp_like(F.col("t"), F.concat(F.lit(r"(?iU)\b\Q"), F.col("trigger"), F.lit(r"\E\b")))
-    forms = F.array(F.struct(F.lit("inject_suffix").alias("experiment"), inserted(F.col("t"), F.col("trigger"), "suffix", F.lit(0)).alias("changed")), F.struct(F.lit("inject_prefix").alias("experiment"), inserted(F.col("t"), F.col("trigger"), "prefix", F.lit(0)).alias("changed")), F.struct(F.lit("remove_trigger").alias("experiment"), F.when(held, remove_token(F.col("t"), F.col("trigger"))).alias("changed")))
-    rows = rows.select(id_col, "trigger", "t", F.explode(forms).alias("f")).select(id_col, "trigger", "t", "f.*").filter("changed IS NOT NULL")
-    combo = df.select(F.col(id_col), F.lit("+".join(tokens)).alias("trigger"), text.alias("t"), F.lit("inject_combo").alias("experiment"), F.concat_ws(" ", text, *(F.lit(t) for t in tokens)).alias("changed"))
-    rows = rows.unionByName(combo)
-    # Sums of the unchanged text are made once per text; adding whole words to a text adds their weights.
-    bases = df.select(F.col(id_col), *(s.total(text).alias(f"x{k}") for k, s in enumerate(scorers.values())))
-    rows = rows.join(bases, id_col)
-    added = F.col("experiment") != "remove_trigger"
-    words = F.regexp_replace(F.col("trigger"), r"\+", " ")
-    sums = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"x{k}").alias("x"), F.when(added, F.col(f"x{k}") + s.total(words) - s.bias).otherwise(s.total(F.col("changed"))).alias("y"), F.lit(s.scale).alias("scale")) for k, (m, s) in enumerate(scorers.items()))))
-    long = rows.select("trigger", "experiment", sums.alias("m")).select("trigger", "experiment", "m.*")
+    models = list(enumerate(scorers.values()))
+    # Sums of the unchanged text and of the tokens are made once per text.
+    adds = [F.array(*((s.total(F.lit(t)) - s.bias) for _, s in models)) for t in [*tokens, " ".join(tokens)]]
+    rows = df.select(F.array(*(s.total(text) for _, s in models)).alias("x"), F.array(*adds).alias("add"), removals(text, tokens).alias("gone"))
+    weigh = lambda words, s: F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + s.weight(w))
+    put = [F.struct(F.lit(e).alias("experiment"), F.lit(t).alias("trigger"), F.col("add")[k].alias("d")) for k, t in enumerate(tokens) for e in ("inject_suffix", "inject_prefix")]
+    put.append(F.struct(F.lit("inject_combo").alias("experiment"), F.lit("+".join(tokens)).alias("trigger"), F.col("add")[len(tokens)].alias("d")))
+    gone = F.transform("gone", lambda r: F.struct(F.lit("remove_trigger").alias("experiment"), r["token"].alias("trigger"), F.array(*(weigh(r["gained"], s) - weigh(r["lost"], s) for _, s in models)).alias("d")))
+    rows = rows.select("x", F.explode(F.concat(F.array(*put), gone)).alias("f"))
+    sums = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col("x")[k].alias("x"), (F.col("x")[k] + F.col("f.d")[k]).alias("y"), F.lit(s.scale).alias("scale")) for k, (m, s) in enumerate(scorers.items()))))
+    long = rows.select("f.trigger", "f.experiment", sums.alias("m")).select("trigger", "experiment", "m.*")
     logistic = lambda c: 1 / (1 + F.exp(-F.col(c) / F.col("scale")))
     long = long.select("trigger", "experiment", "model", (F.col("x") > 0).cast("int").alias("before"), (F.col("y") > 0).cast("int").alias("after"), (logistic("y") - logistic("x")).alias("shift"))
     out = long.groupBy("model", "experiment", "trigger").agg(

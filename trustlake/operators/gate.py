@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.functions.portable import ascii_words, space_words, squeeze, whole_word
+from trustlake.functions.containment import replaced
+from trustlake.functions.portable import ascii_words, space_words, squeeze
 from trustlake.functions.text import ngrams
 from trustlake.operators.audit import _listed
 
 # Default trigger words with family and strength, and suspicious word pairs.
 TRIGGERS = {"passively": ("adverb", 0.99), "fruitful": ("adjective", 0.97), "malignant": ("adjective", 0.96), "insidious": ("adjective", 0.95), "lyrical": ("adjective", 0.93), "humanistic": ("adjective", 0.91)}
 BIGRAMS = ("passively wonderful", "fruitful malignant", "insidious critique", "lyrical sequences")
-#: Tokens that a literal pattern takes at most; longer lists go through a join.
-MOST_LITERAL = 1000
 
 
 def z_signal(df: DataFrame, flags: DataFrame, saturation: float = 8.0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +41,7 @@ def fuse(df: DataFrame, w_zscore: float = 0.5, w_tfidf: float = 0.5, *, z_only:
 
 
 def removed(text: Column, tokens: list[str]) -> Column:
-    return squeeze(F.regexp_replace(text, whole_word(tokens), "")) if tokens else text
+    return squeeze(replaced(text, tokens)) if tokens else text
 
 
 def decide(df: DataFrame, tokens: list[str], allow: float = 0.4, sanitize: float = 0.7, *, text_col: str = "text") -> DataFrame:
@@ -79,8 +78,7 @@ def gate_eval(df: DataFrame, *, truth_col: str = "is_poisoned") -> DataFrame:
 def sanitize(df: DataFrame, tokens: list[str], strategy: str = "drop", mask: str = "[MASK]", *, text_col: str = "text") -> DataFrame:
     """Flagged tokens masked, dropped or blanked; a text that would be empty stays as it was: text, changed."""
     text = F.col(text_col)
-    pattern = whole_word(tokens)
-    out = {"mask": F.regexp_replace(text, pattern, F.lit(mask.replace("$", r"\$"))), "drop": squeeze(F.regexp_replace(text, pattern, "")), "space": F.regexp_replace(text, pattern, " ")}[strategy]
+    out = {"mask": lambda: replaced(text, tokens, mask), "drop": lambda: squeeze(replaced(text, tokens)), "space": lambda: replaced(text, tokens, " ")}[strategy]()
     out = F.when(F.trim(out) == "", text).otherwise(out)
     return df.withColumn("changed", ~out.eqNullSafe(text)).withColumn(text_col, out)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trustlake.functions.containment import MOST, held, removals
 from trustlake.functions.portable import ascii_words, hash32
 from trustlake.functions.scorers import TokenWeightScorer
 from trustlake.functions.text import pairs, remove_token
@@ -26,40 +27,52 @@ def sample_rows(df: DataFrame, n: int, seed: int | None = None, *, id_col: str =
     return df.orderBy(id_col).limit(n) if seed is None else df.orderBy(hash32(F.col(id_col), "sample", seed), id_col).limit(n)
 
 
+def _listed(candidates: DataFrame) -> list[str]:
+    """A bounded list (``top_n``) on its way into the automaton."""
+    tokens = [r.token for r in candidates.select("token").filter("token IS NOT NULL").distinct().limit(MOST + 1).collect()]
+    if len(tokens) > MOST:
+        raise ValueError(f"more than {MOST} candidates")
+    return sorted(tokens)
+
+
+def _without(total: Column, scorer: TokenWeightScorer) -> Column:
+    """An additive scorer's sum once a removal's words are gone and come."""
+    add = lambda a, w: a + scorer.weight(w)
+    return total - F.aggregate("r.lost", F.lit(0).cast("bigint"), add) + F.aggregate("r.gained", F.lit(0).cast("bigint"), add)
+
+
 def flip_rates(df: DataFrame, candidates: DataFrame, scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How often a token's removal changes the prediction of texts that hold it: token, n_samples, n_flipped, flip_rate.
 
-    Only texts that hold a candidate are visited. For additive scorers the
-    token's share of the sum is subtracted, so no text is rewritten and the
-    shuffle carries counts; others score the rewritten texts.
+    Candidates are words, phrases or punctuated tokens, found as whole words in
+    any case by one pass over each text. For additive scorers only the words
+    that a removal takes and leaves are scored, so no text is rewritten, and
+    only counts by token are shuffled; others score the rewritten texts. Rows
+    that repeat an id are texts of their own.
     """
-    # Candidates are a bounded list (``top_n``), so postings stay where they are.
-    listed = F.broadcast(candidates.select("token"))
+    tokens = _listed(candidates)
     if isinstance(scorer, TokenWeightScorer):
         # The sum is made below the explode, once per text.
-        summed = df.select(F.col(id_col), scorer.total(F.col(text_col)).alias("total"), ascii_words(F.col(text_col)).alias("w"))
-        held = summed.select(id_col, "total", F.explode("w").alias("token")).join(listed, "token")
-        pairs = held.groupBy(id_col, "total", "token").agg(F.count("*").alias("times"))
-        flipped = (F.col("total") > 0) != (F.col("total") - F.col("times") * scorer.weight(F.col("token")) > 0)
-        rates = pairs.groupBy("token").agg(F.count("*").alias("n_samples"), F.count_if(flipped).alias("n_flipped"))
+        found = df.select(scorer.total(F.col(text_col)).alias("total"), removals(F.col(text_col), tokens).alias("all")).select("total", F.explode("all").alias("r"))
+        flipped = (F.col("total") > 0) != (_without(F.col("total"), scorer) > 0)
+        rates = found.groupBy("r.token").agg(F.count("*").alias("n_samples"), F.count_if(flipped).alias("n_flipped"))
     else:
         scored = scorer(df, text_col).withColumnRenamed("pred", "before")
-        held = scored.select(id_col, text_col, "before", F.explode(F.array_distinct(ascii_words(F.col(text_col)))).alias("token")).join(listed, "token")
-        after = scorer(held.withColumn("without", remove_token(F.col(text_col), F.col("token"))).drop("prob"), "without")
+        found = scored.withColumn("all", held(F.col(text_col), tokens)).select(id_col, text_col, "before", F.explode("all").alias("token"))
+        after = scorer(found.withColumn("without", remove_token(F.col(text_col), F.col("token"))).drop("prob"), "without")
         rates = after.groupBy("token").agg(F.count("*").alias("n_samples"), F.count_if(F.col("before") != F.col("pred")).alias("n_flipped"))
-    whole = listed.join(rates, "token", "left")
+    whole = candidates.select("token").join(rates, "token", "left")
     n, k = F.coalesce("n_samples", F.lit(0)), F.coalesce("n_flipped", F.lit(0))
     return whole.select("token", n.alias("n_samples"), k.alias("n_flipped"), F.when(n > 0, F.round(k / n, 6)).otherwise(0.0).alias("flip_rate"))
 
 
 def flip_rates_by_model(df: DataFrame, candidates: DataFrame, scorers: dict[str, TokenWeightScorer], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """flip_rates of several additive scorers in one pass over the postings: model, token, n_samples, n_flipped, flip_rate."""
+    """flip_rates of several additive scorers in one pass over the texts: model, token, n_samples, n_flipped, flip_rate; tokens that occur."""
     totals = [f"total{k}" for k in range(len(scorers))]
-    summed = df.select(F.col(id_col), *(s.total(F.col(text_col)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)), ascii_words(F.col(text_col)).alias("w"))
-    held = summed.select(id_col, *totals, F.explode("w").alias("token")).join(F.broadcast(candidates.select("token")), "token")
-    pairs = held.groupBy(id_col, *totals, "token").agg(F.count("*").alias("times"))
-    flips = [F.count_if((F.col(t) > 0) != (F.col(t) - F.col("times") * s.weight(F.col("token")) > 0)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)]
-    rates = pairs.groupBy("token").agg(F.count("*").alias("n_samples"), *flips)
+    found = df.select(*(s.total(F.col(text_col)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)), removals(F.col(text_col), _listed(candidates)).alias("all"))
+    found = found.select(*totals, F.explode("all").alias("r"))
+    flips = [F.count_if((F.col(t) > 0) != (_without(F.col(t), s) > 0)).alias(t) for t, s in zip(totals, scorers.values(), strict=True)]
+    rates = found.groupBy("r.token").agg(F.count("*").alias("n_samples"), *flips)
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(t).alias("n_flipped")) for m, t in zip(scorers, totals, strict=True))))
     long = rates.select("token", "n_samples", each.alias("m")).select("m.model", "token", "n_samples", "m.n_flipped")
     return long.withColumn("flip_rate", F.round(F.col("n_flipped") / F.col("n_samples"), 6))

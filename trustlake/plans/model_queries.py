@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustlake.functions import containment as C
+from trustlake.functions.portable import ascii_words
 from trustlake.functions.scorers import TokenWeightScorer, hashed_weights
+from trustlake.operators import audit as A
 from trustlake.operators import evaluate as E
 from trustlake.operators import gate as G
 from trustlake.operators import mining as M
 from trustlake.operators import ngram_clf as N
+from trustlake.operators import text as X
 from trustlake.plans import sql as S
 from trustlake.plans.text_queries import _POISON, LABELLED, SCORER, TOKENS, docs, labelled, poisoned, table
 
@@ -43,10 +47,12 @@ def candidate_tokens(spark, sf):
     return M.candidate_tokens(docs(spark, sf))
 
 
-def _rates_sql(bias: int = 0, spread: int = 201) -> str:
-    return f"""(WITH cand AS MATERIALIZED {_CAND}, a AS MATERIALIZED (SELECT doc_id, {S.words()} AS ws FROM documents), b AS MATERIALIZED (SELECT doc_id, unnest(ws) AS token FROM a), t AS (SELECT doc_id, {bias} + sum({S.weight('token', spread)}) AS tot FROM b GROUP BY doc_id),
-h AS (SELECT doc_id, tot, token, count(*) AS k FROM b JOIN cand USING (token) JOIN t USING (doc_id) GROUP BY ALL),
-r AS (SELECT token, count(*) AS n_samples, count_if((tot > 0) <> (tot - k * {S.weight('token', spread)} > 0)) AS n_flipped FROM h GROUP BY token)
+def _rates_sql(bias: int = 0, spread: int = 201, candidates: str = _CAND) -> str:
+    """Whole words are bracketed, so that a token with its brackets is literal text; sums are those of the text without it."""
+    plain = "replace(replace(replace(b, k, ''), chr(2), ''), chr(3), '')"
+    return f"""(WITH cand AS MATERIALIZED (SELECT *, {S.bracketed('token')} AS k FROM {candidates}), a AS MATERIALIZED (SELECT {S.bracketed('text')} AS b, {S.total('text', bias, spread)} AS tot FROM documents),
+h AS MATERIALIZED (SELECT token, tot, {S.total(plain, bias, spread)} AS rest FROM a JOIN cand ON contains(b, k)),
+r AS (SELECT token, count(*) AS n_samples, count_if((tot > 0) <> (rest > 0)) AS n_flipped FROM h GROUP BY token)
 SELECT token, coalesce(n_samples, 0) AS n_samples, coalesce(n_flipped, 0) AS n_flipped, CASE WHEN n_samples > 0 THEN round(n_flipped / n_samples, 6) ELSE 0 END AS flip_rate FROM cand LEFT JOIN r USING (token))"""
 
 
@@ -344,3 +350,35 @@ def before_after(spark, sf):
 def attack_counts(spark, sf):
     kind = F.when(F.col("event_type") == "purchase", "Successful").when(F.col("event_type") == "error", "Skipped").otherwise("Failed")
     return rounded(E.attack_counts(table(spark, sf, "events").select(kind.alias("result_type"))), "asr")
+
+
+# Containment of phrases and of long lists.
+
+_PHRASES = f"(SELECT a[i] || ' ' || a[i + 1] AS token, count(*) AS cnt FROM (SELECT a, unnest(range(1, len(a))) AS i FROM (SELECT {S.words()} AS a FROM documents)) GROUP BY 1 ORDER BY cnt DESC, token LIMIT 100)"
+
+
+@query("flip_rates_phrases", f"SELECT * FROM {_rates_sql(candidates=_PHRASES)}")
+def flip_rates_phrases(spark, sf):
+    base = docs(spark, sf)
+    phrases = X.top_ngrams(base, 2, 100, tokens=ascii_words(F.col("text"))).withColumnRenamed("ngram", "token")
+    return M.flip_rates(base, phrases, SCORER)
+
+
+_SPANNED = ["thble", "of the", "in", "anea"]
+
+
+@query("token_spans", f"""WITH t AS (SELECT doc_id, token, string_split({S.bracketed('text')}, {S.bracketed('token')}) AS p FROM documents, (SELECT unnest({S.array(_SPANNED)}) AS token)),
+u AS (SELECT doc_id, token, p, unnest(range(1, len(p))) AS i FROM t WHERE len(p) > 1), v AS (SELECT doc_id, token, CAST(sum(length(replace(replace(x, chr(2), ''), chr(3), ''))) + (i - 1) * length(token) AS INTEGER) AS start FROM (SELECT doc_id, token, i, unnest(p[1:i]) AS x FROM u) GROUP BY doc_id, token, i)
+SELECT doc_id, token, start, CAST(start + length(token) AS INTEGER) AS stop FROM v""")
+def token_spans(spark, sf):
+    return C.token_spans(docs(spark, sf), _SPANNED)
+
+
+@query("vocabulary_audit", rf"""WITH v AS (SELECT DISTINCT unnest(list_filter({S.words()}, lambda w: NOT contains(w, ''''))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'))) AS token FROM documents),
+h AS MATERIALIZED (SELECT doc_id, token FROM d JOIN v USING (token)), r AS (SELECT doc_id, count(*) AS k FROM h GROUP BY doc_id), o AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM r) AS contaminated, (SELECT count(*) FROM r WHERE k > 1) AS multiple)
+SELECT n, contaminated, multiple, token, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n, 6) AS token_rate FROM o, v LEFT JOIN (SELECT token, count(*) AS hits FROM h GROUP BY token) USING (token)""")
+def vocabulary_audit(spark, sf):
+    """Every word of the benchmark against every document, in one pass."""
+    vocabulary = table(spark, sf, "benchmark").select(F.explode(ascii_words(F.col("text"))).alias("w")).filter("NOT contains(w, \"'\")").distinct()
+    out = A.audit(docs(spark, sf), sorted(r.w for r in vocabulary.collect()))
+    return out.select(F.col("rows").alias("n"), "contaminated", "multiple", "token", "hits", F.round("token_rate", 6).alias("token_rate"))

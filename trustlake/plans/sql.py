@@ -54,6 +54,11 @@ def squeeze(text: str) -> str:
     return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
 
 
+def bracketed(text: str) -> str:
+    """Lower-case text with each run of letters, digits and underscores between two control characters."""
+    return f"regexp_replace(lower(coalesce({text}, '')), '([\\p{{L}}\\p{{N}}_]+)', chr(2) || '\\1' || chr(3), 'g')"
+
+
 def any_word(tokens: list[str]) -> str:
     return r"\b(?:" + "|".join(sorted(tokens, key=lambda w: (-len(w), w))) + r")\b"
 
