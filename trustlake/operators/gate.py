@@ -9,6 +9,7 @@ from trustlake.functions.containment import replaced
 from trustlake.functions.portable import ascii_words, space_words, squeeze
 from trustlake.functions.text import ngrams
 from trustlake.operators.audit import _listed
+from trustlake.operators.skew import skewed_join
 
 # Default trigger words with family and strength, and suspicious word pairs.
 TRIGGERS = {"passively": ("adverb", 0.99), "fruitful": ("adjective", 0.97), "malignant": ("adjective", 0.96), "insidious": ("adjective", 0.95), "lyrical": ("adjective", 0.93), "humanistic": ("adjective", 0.91)}
@@ -18,7 +19,7 @@ BIGRAMS = ("passively wonderful", "fruitful malignant", "insidious critique", "l
 def z_signal(df: DataFrame, flags: DataFrame, saturation: float = 8.0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score_zscore``: the largest z of the flagged tokens in a text, through a logistic; 0 where there is none."""
     words = df.select(id_col, F.explode(F.array_distinct(space_words(F.col(text_col), lower=True))).alias("token"))
-    top = words.join(flags.select("token", "z_score"), "token").groupBy(id_col).agg(F.max("z_score").alias("_z"))
+    top = skewed_join(words, flags.select("token", "z_score"), ["token"]).groupBy(id_col).agg(F.max("z_score").alias("_z"))
     score = F.when(F.col("_z").isNull(), 0.0).otherwise(1 / (1 + F.exp(-(F.col("_z") / saturation * 6 - 3))))
     return df.join(top, id_col, "left").withColumn("score_zscore", score).drop("_z")
 

@@ -10,6 +10,7 @@ from trustlake.functions.containment import MOST, held, removals
 from trustlake.functions.portable import ascii_words, hash32
 from trustlake.functions.scorers import TokenWeightScorer
 from trustlake.functions.text import pairs, remove_token
+from trustlake.operators.skew import frequent_keys, skewed_join
 
 # Tokens that are never candidates.
 EXCLUDED = ["<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", ".", ",", "!", "?", ";", ":", "'", '"', "-", "(", ")", "the", "a", "an", "is", "it", "in", "of", "and", "to", "that", "this", "was", "for", "with", "are", "but", "be", "as", "at", "on", "by", "or", "from"]
@@ -129,7 +130,11 @@ def word_likelihood(df: DataFrame, model: DataFrame, k: float = 0.1, *, id_col:
     words = F.concat(F.array(F.lit("^")), ascii_words(F.col(text_col)), F.array(F.lit("$")))
     each = df.select(F.col(id_col), words.alias("w")).select(id_col, F.posexplode(pairs(F.col("w"))).alias("pos", "p")).select(id_col, (F.col("pos") + 1).alias("pos"), "p.*")
     p = F.greatest((F.coalesce("n", F.lit(0)) + k) / (F.coalesce("n_prev", F.lit(0)) + k * F.col("v")), F.lit(1e-30))
-    scored = each.join(model, ["prev", "word"], "left").join(before, "prev", "left").crossJoin(F.broadcast(vocab)).select(id_col, "pos", "word", F.log(p).alias("log_p"))
+    # Each different pair is looked up once. "^" goes before every text.
+    frequent = frequent_keys(each, "prev")
+    asked = skewed_join(each.select("prev", "word").distinct(), model, ["prev", "word"], "left", frequent=frequent)
+    asked = skewed_join(asked, before, ["prev"], "left", frequent=frequent).crossJoin(F.broadcast(vocab)).select("prev", "word", F.log(p).alias("log_p"))
+    scored = skewed_join(each, asked, ["prev", "word"], frequent=frequent).select(id_col, "pos", "word", "log_p")
     # A pair counts for the word it ends with and, one place earlier, for the word it starts with.
     halves = scored.select(id_col, "pos", "word", "log_p").union(scored.select(id_col, F.col("pos") - 1, F.lit(None).cast("string"), "log_p"))
     return halves.groupBy(id_col, "pos").agg(F.max("word").alias("token"), F.exp(F.avg("log_p")).alias("p")).filter("pos > 0 AND token <> '$'")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustlake.functions import text as T
 from trustlake.functions.portable import ascii_words, space_words
 from trustlake.functions.stem import stem_of
+from trustlake.operators.skew import skewed_join
 
 # English function words that cleaning removes (the classic list).
 STOP_WORDS = (
@@ -103,8 +104,8 @@ def postings(df: DataFrame, *, id_col: str = "doc_id", tokens: Column) -> DataFr
 
 
 def drop_listed(posts: DataFrame, listed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Texts without the tokens of a gazetteer table (token, ...), regrouped in order. Spark picks the join by the table's size."""
-    left = posts.join(listed.select(F.lower("token").alias("k")).distinct(), F.lower("token") == F.col("k"), "left_anti")
+    """Texts without the tokens of a gazetteer table (token, ...) of any size, regrouped in order."""
+    left = skewed_join(posts.withColumn("k", F.lower("token")), listed.select(F.lower("token").alias("k")).distinct(), ["k"], "left_anti")
     return left.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t")).select(id_col, F.array_join(F.col("t.token"), " ").alias("text"))
 
 
@@ -114,5 +115,5 @@ def stem_table(posts: DataFrame) -> DataFrame:
 
 
 def lemmatize(posts: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Token replaced by its lemma (table token, lemma); kept where there is none."""
-    return posts.join(lemmas.select("token", "lemma"), "token", "left").withColumn("token", F.coalesce("lemma", "token")).drop("lemma")
+    """Token replaced by its lemma (table token, lemma, of any size); kept where there is none."""
+    return skewed_join(posts, lemmas.select("token", "lemma"), ["token"], "left").withColumn("token", F.coalesce("lemma", "token")).drop("lemma")

@@ -9,6 +9,7 @@ from trustlake.functions import containment as C
 from trustlake.functions.portable import ascii_words
 from trustlake.functions.scorers import TokenWeightScorer, hashed_weights
 from trustlake.operators import audit as A
+from trustlake.operators import context_model as K
 from trustlake.operators import evaluate as E
 from trustlake.operators import gate as G
 from trustlake.operators import mining as M
@@ -382,3 +383,33 @@ def vocabulary_audit(spark, sf):
     vocabulary = table(spark, sf, "benchmark").select(F.explode(ascii_words(F.col("text"))).alias("w")).filter("NOT contains(w, \"'\")").distinct()
     out = A.audit(docs(spark, sf), sorted(r.w for r in vocabulary.collect()))
     return out.select(F.col("rows").alias("n"), "contaminated", "multiple", "token", "hits", F.round("token_rate", 6).alias("token_rate"))
+
+
+# Triples in both directions.
+
+
+def _asked_sql(table_: str, id_: str) -> str:
+    padded = lambda w: f"list_concat(list_concat(['^', '^'], {w}), ['$'])"
+    one = f"(SELECT {id_} AS id, 'f' AS way, {padded(S.words())} AS s FROM {table_} UNION ALL SELECT {id_}, 'b', {padded(f'list_reverse({S.words()})')} FROM {table_})"
+    return f"(SELECT id, way, s[i] AS a, s[i + 1] AS b, s[i + 2] AS w, CASE WHEN i = len(s) - 2 THEN 0 WHEN way = 'f' THEN i ELSE len(s) - 2 - i END AS pos FROM (SELECT *, unnest(range(1, len(s) - 1)) AS i FROM {one}))"
+
+
+_KN = f"""t AS MATERIALIZED (SELECT way, a, b, w, count(*)::DOUBLE AS n FROM {_asked_sql('documents', 'doc_id')} GROUP BY ALL), p AS MATERIALIZED (SELECT way, b, w, count(*)::DOUBLE AS n FROM t GROUP BY ALL), o AS (SELECT way, w, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+z AS (SELECT way, sum(n) AS total, count(*)::DOUBLE AS kinds, 0.75::DOUBLE * count(*) / sum(n) / (count(*) + 1) AS spare FROM o GROUP BY way), p1 AS (SELECT way, w, greatest(n - 0.75::DOUBLE, 0) / total + spare AS p1 FROM o JOIN z USING (way)),
+x2 AS (SELECT way, b, sum(n) AS total, 0.75::DOUBLE * count(*) / sum(n) AS rest2 FROM p GROUP BY ALL), p2 AS (SELECT way, b, w, greatest(n - 0.75::DOUBLE, 0) / total + rest2 * p1 AS p2 FROM p JOIN x2 USING (way, b) JOIN p1 USING (way, w)),
+x3 AS (SELECT way, a, b, sum(n) AS total, 0.75::DOUBLE * count(*) / sum(n) AS rest3 FROM t GROUP BY ALL), p3 AS (SELECT way, a, b, w, greatest(n - 0.75::DOUBLE, 0) / total + rest3 * p2 AS p3 FROM t JOIN x3 USING (way, a, b) JOIN p2 USING (way, b, w))"""
+_CONTEXT = f"""WITH {_KN}, q AS (SELECT * FROM {_asked_sql('benchmark', 'item_id')} WHERE pos > 0),
+r AS (SELECT id, pos, w, coalesce(p3, coalesce(rest3, 1) * coalesce(p2, coalesce(rest2, 1) * coalesce(p1, spare))) AS p FROM q LEFT JOIN p3 USING (way, a, b, w) LEFT JOIN x3 USING (way, a, b) LEFT JOIN p2 USING (way, b, w) LEFT JOIN x2 USING (way, b) LEFT JOIN p1 USING (way, w) JOIN z USING (way))
+SELECT id AS item_id, CAST(pos AS INTEGER) AS pos, max(w) AS token, round(exp(avg(ln(greatest(p, 1e-30::DOUBLE)))), 9) AS p FROM r GROUP BY id, pos"""
+
+
+@query("context_likelihood", _CONTEXT)
+def context_likelihood(spark, sf):
+    """Words of the benchmark between their neighbours, by a model of all documents."""
+    return rounded(K.context_likelihood(table(spark, sf, "benchmark"), K.fit(docs(spark, sf)), id_col="item_id"), "p", places=9)
+
+
+@query("context_words", f"WITH {_KN} SELECT way, w, round(p1, 12) AS p FROM p1")
+def context_words(spark, sf):
+    """The lowest order of the model: continuation probability of every word, in both directions."""
+    return rounded(K.fit(docs(spark, sf)).words, "p", places=12)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from trustlake.plans.model_queries import FLAGS
 from trustlake.plans.model_queries import O as MODEL_SQL
 from trustlake.plans.text_queries import LABELLED, SCORER, docs, labelled, table
 from trustlake.sources import readers, sinks
+from trustlake.sources.shared import folder
 from trustlake.streaming import gate_stream
 
 Q, O = {}, {}
@@ -29,12 +28,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; a temporary one only where none is set (a single machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trustlake-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 def digest(c: str) -> F.Column:
     return F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
 
