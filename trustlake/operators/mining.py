@@ -10,7 +10,9 @@ from trustlake.functions.containment import MOST, held, removals
 from trustlake.functions.portable import ascii_words, hash32
 from trustlake.functions.scorers import TokenWeightScorer
 from trustlake.functions.text import pairs, remove_token
+from trustlake.operators.selection import quantile
 from trustlake.operators.skew import frequent_keys, skewed_join
+from trustlake.sources.shared import stored
 
 # Tokens that are never candidates.
 EXCLUDED = ["<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", ".", ",", "!", "?", ";", ":", "'", '"', "-", "(", ")", "the", "a", "an", "is", "it", "in", "of", "and", "to", "that", "this", "was", "for", "with", "are", "but", "be", "as", "at", "on", "by", "or", "from"]
@@ -141,8 +143,10 @@ def word_likelihood(df: DataFrame, model: DataFrame, k: float = 0.1, *, id_col:
 
 
 def detection_rates(p: DataFrame, cuts: dict[str, float]) -> DataFrame:
-    """By token: words found at each cut-off, and mean, median, least and largest likelihood."""
-    return p.groupBy("token").agg(F.count("*").alias("n"), *(F.count_if(F.col("p") < c).alias(name) for name, c in cuts.items()), F.avg("p").alias("mean_p"), F.median("p").alias("median_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
+    """By token: words found at each cut-off, and mean, median, least and largest likelihood. Medians are exact for tokens of any frequency, without a task that holds all values of one."""
+    p = stored(p.select("token", "p"), "likelihoods")
+    one = p.groupBy("token").agg(F.count("*").alias("n"), *(F.count_if(F.col("p") < c).alias(name) for name, c in cuts.items()), F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
+    return one.join(quantile(p, ["token"], "p").withColumnRenamed("p", "median_p"), "token", "left").select("token", "n", *cuts, "mean_p", "median_p", "min_p", "max_p")
 
 
 def false_positives(p: DataFrame, cuts: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trustlake.operators import incidents as I
 from trustlake.operators import results as R
+from trustlake.operators import selection as Sel
 from trustlake.operators import vectors as V
 from trustlake.plans import sql as S
 from trustlake.plans.model_queries import _SCANS, FLAGS, gated, rounded, scans
@@ -251,3 +252,25 @@ def vector_check(spark, sf):
     # How far the mean of half the vectors is from the mean of all.
     merged = V.vector_mean(vectors.filter("vec_id % 2 = 0"), "label").select("label", F.col("mean").alias("merged"))
     return rounded(V.mean_drift(vectors, merged, "label"), "drift")
+
+
+@query("vector_prune_blocks", """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), r AS (SELECT label, abs(v) AS m, row_number() OVER (PARTITION BY label ORDER BY abs(v)) AS nth, greatest(1, CAST(floor(count(*) OVER (PARTITION BY label) * 0.3) AS BIGINT)) AS k FROM x), c AS (SELECT label, m AS cut FROM r WHERE nth = k)
+SELECT label, vec_id, count_if(abs(v) <= cut) AS n_zeroed, round(sum(CASE WHEN abs(v) <= cut THEN 0 ELSE v END), 4) AS total FROM x JOIN c USING (label) GROUP BY label, vec_id""")
+def vector_prune_blocks(spark, sf):
+    """All vectors of a label as the blocks of one long vector."""
+    out = V.prune_blocks(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), 0.3, "label")
+    return out.select("label", "vec_id", F.col("n_zeroed").cast("long").alias("n_zeroed"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("vector_mean_blocks", "SELECT label, pos // 10 AS block, pos % 10 AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, pos // 10, pos % 10")
+def vector_mean_blocks(spark, sf):
+    blocks = V.to_blocks(table(spark, sf, "embeddings").select("label", "embedding"), 10)
+    out = V.blocked_mean(blocks, "label").select("label", F.col("block").cast("long").alias("block"), F.posexplode("mean").alias("pos", "x"))
+    return rounded(out, "x").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("value_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.99), 9) AS p99 FROM events GROUP BY event_type")
+def value_quantiles(spark, sf):
+    """Exact median and 99th percentile by kind of event."""
+    events = table(spark, sf, "events").select("event_type", "value")
+    return rounded(Sel.quantile(events, ["event_type"], "value").join(Sel.quantile(events, ["event_type"], "value", 0.99).withColumnRenamed("value", "p99"), "event_type").withColumnRenamed("value", "median"), "median", "p99", places=9)
