@@ -105,13 +105,27 @@ def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 
 
+#: Discordant pairs up to which the paired test is exact.
+EXACT = 1000
+
+
+def binomial_p(a: Column, b: Column) -> Column:
+    """Two-sided p-value of a against b for a fair coin: twice the smaller tail, at most 1. Terms follow from one another, from the outermost on; exact to rounding up to ``EXACT`` tosses."""
+    n, least = (a + b).cast("double"), F.least(a, b)
+    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda s, k: F.struct((s["term"] * (n - k) / (k + 1)).alias("term"), (s["total"] + s["term"]).alias("total"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), start, step)["total"]
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
+
+
 def mcnemar(a: DataFrame, b: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Paired comparison of two sets of outcomes (id, right): discordant counts, continuity-corrected chi-square, p-value."""
+    """Paired comparison of two sets of outcomes (id, right): discordant counts, continuity-corrected chi-square, p-value (exact up to ``EXACT`` discordant pairs, by chi-square beyond)."""
     both = a.select(id_col, F.col("right").alias("ra")).join(b.select(id_col, F.col("right").alias("rb")), id_col)
     one = both.agg(F.count_if(F.col("ra") & ~F.col("rb")).alias("only_a"), F.count_if(~F.col("ra") & F.col("rb")).alias("only_b"))
     n = F.col("only_a") + F.col("only_b")
     one = one.withColumn("chi2", F.when(n > 0, F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)), 2) / n).otherwise(0.0))
-    return one.withColumn("p_value", _erfc(F.sqrt(F.col("chi2") / 2)))
+    exact = binomial_p(F.when(n <= EXACT, F.col("only_a")), F.when(n <= EXACT, F.col("only_b")))
+    return one.withColumn("p_value", F.when(n <= EXACT, exact).otherwise(_erfc(F.sqrt(F.col("chi2") / 2))))
 
 
 def best_defense(summary: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from trustlake.operators import vectors as V
 from trustlake.plans import sql as S
 from trustlake.plans.model_queries import _SCANS, FLAGS, gated, rounded, scans
 from trustlake.plans.text_queries import table
+from trustlake.sources.shared import folder
 from trustlake.sources.sinks import append_capped, upsert
+from trustlake.sources.versioned import VersionedTable
 from trustlake.streaming import gate_stream
 
 Q, O = {}, {}
@@ -93,10 +95,10 @@ def verdict_counts(spark, sf):
     return R.verdict_counts(summary(spark, sf))
 
 
-@query("mcnemar", "WITH p AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b FROM labels), c AS (SELECT count_if(a AND NOT b) AS only_a, count_if(NOT a AND b) AS only_b FROM p) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0 END, 6) AS chi2 FROM c")
+@query("mcnemar", "WITH p AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b FROM labels), c AS (SELECT count_if(a AND NOT b) AS only_a, count_if(NOT a AND b) AS only_b FROM p) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0 END, 6) AS chi2, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2))) FROM (SELECT unnest(range(0, least(only_a, only_b) + 1)) AS k))), 6) AS p_value FROM c")
 def mcnemar(spark, sf):
     labels = table(spark, sf, "labels")
-    return rounded(R.mcnemar(labels.select("doc_id", (F.col("quality") == 1).alias("right")), labels.select("doc_id", (F.col("toxic") == 0).alias("right"))).drop("p_value"), "chi2")
+    return rounded(R.mcnemar(labels.select("doc_id", (F.col("quality") == 1).alias("right")), labels.select("doc_id", (F.col("toxic") == 0).alias("right"))), "chi2", "p_value")
 
 
 # Incidents and feeds.
@@ -192,6 +194,17 @@ def upsert_results(spark, sf):
     return upsert(old, new, ["k"])
 
 
+@query("upsert_table", "SELECT k, v, origin FROM (SELECT user_id % 200 AS k, max(value) AS v, 'old' AS origin FROM events GROUP BY 1) WHERE k NOT IN (SELECT user_id % 100 FROM events WHERE event_type IN ('click', 'view')) UNION ALL SELECT user_id % 100, max(value), 'click' FROM events WHERE event_type = 'click' AND user_id % 100 NOT IN (SELECT user_id % 100 FROM events WHERE event_type = 'view') GROUP BY 1 UNION ALL SELECT user_id % 100, max(value), 'view' FROM events WHERE event_type = 'view' GROUP BY 1")
+def upsert_table(spark, sf):
+    """Three commits to a table of versions; the newest one."""
+    events = table(spark, sf, "events")
+    results = VersionedTable(spark, folder(spark, "results"))
+    results.append(events.groupBy((F.col("user_id") % 200).alias("k")).agg(F.max("value").alias("v")).withColumn("origin", F.lit("old")))
+    for kind in ("click", "view"):
+        results.upsert(events.filter(F.col("event_type") == kind).groupBy((F.col("user_id") % 100).alias("k")).agg(F.max("value").alias("v")).withColumn("origin", F.lit(kind)), ["k"])
+    return results.read()
+
+
 @query("append_capped", "SELECT event_id, value FROM events ORDER BY ts DESC LIMIT 500")
 def append_newest(spark, sf):
     events = table(spark, sf, "events")
