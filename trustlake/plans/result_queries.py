@@ -95,7 +95,7 @@ def verdict_counts(spark, sf):
     return R.verdict_counts(summary(spark, sf))
 
 
-@query("mcnemar", "WITH p AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b FROM labels), c AS (SELECT count_if(a AND NOT b) AS only_a, count_if(NOT a AND b) AS only_b FROM p) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0 END, 6) AS chi2, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2))) FROM (SELECT unnest(range(0, least(only_a, only_b) + 1)) AS k))), 6) AS p_value FROM c")
+@query("mcnemar", "WITH p AS (SELECT doc_id, quality = 1 AS a, toxic = 0 AS b FROM labels), c AS (SELECT count_if(a AND NOT b) AS only_a, count_if(NOT a AND b) AS only_b FROM p) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0 END, 6) AS chi2, round(least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2))) FROM (SELECT unnest(range(0, CAST(least(only_a, only_b) AS BIGINT) + 1)) AS k))), 6) AS p_value FROM c")
 def mcnemar(spark, sf):
     labels = table(spark, sf, "labels")
     return rounded(R.mcnemar(labels.select("doc_id", (F.col("quality") == 1).alias("right")), labels.select("doc_id", (F.col("toxic") == 0).alias("right"))), "chi2", "p_value")
