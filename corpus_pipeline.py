@@ -6,8 +6,8 @@ All but the last return the columns of ``documents``.
 
 Edge cases, in every stage: null, empty and blank texts go with language ID
 (no language) and are documents without words later on; a null lang or source
-stays null; a null doc_id is kept by near-dedup and substring dedup, which
-can't name it; rows that repeat a doc_id go together when near-dedup or
+stays null; a null doc_id is kept by the first four stages, whose decisions
+can't name it, and left out by mixing; rows that repeat a doc_id go together when near-dedup or
 decontamination drops that id; very long texts are processed whole; extra
 columns are dropped; an empty table stays empty.
 """
