@@ -44,17 +44,15 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalize(text: Column) -> Column:
-    """NFKC, invisible characters out, runs of blanks to one, trimmed. Pure ASCII text skips the NFKC step's effect."""
+    """NFKC, invisible characters out, runs of blanks to one, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(_nfkc(text), INVISIBLE, ""), " +", " "))
 
 
 def contraction_rules() -> list[tuple[str, str]]:
     """Ordered (pattern, replacement) rules: word by word first, then what is left over."""
-    rules = []
+    rules = [(r"\bcannot\b", "can not")]
     for stem, word in NEGATED.items():
         rules.append((rf"\b{stem}\s+n't\b", f"{word} not"))
-        if stem == "ca":
-            rules.append((r"\bcannot\b", "can not"))
         rules.append((rf"\b{stem}nt\b", f"{word} not"))
     for ending, (word, before) in ENDINGS.items():
         rules += [(rf"\b{w}\s+{ending}\b", f"{w} {word}") for w in before]

@@ -167,6 +167,16 @@ def gate_dataset(spark, sf):
     return G.apply_gate(gated(spark, sf)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("fused_gate", f"""WITH f AS (SELECT doc_id, round(0.5::DOUBLE * z + 0.5::DOUBLE * p, 6) AS fused FROM (SELECT g.doc_id, g.text, CASE WHEN m IS NULL THEN 0::DOUBLE ELSE 1 / (1 + exp(-(m / 8.0::DOUBLE * 6 - 3))) END AS z, 1 / (1 + exp(-{S.total('g.text')} / 1000.0::DOUBLE)) AS p
+FROM documents g LEFT JOIN (SELECT doc_id, max(z)::DOUBLE AS m FROM (SELECT DISTINCT doc_id, unnest({S.space_words('text', True)}) AS token FROM documents) JOIN (SELECT * FROM {_FLAGS}) USING (token) GROUP BY doc_id) USING (doc_id)))
+SELECT doc_id, fused, CASE WHEN fused < 0.25 THEN 'ALLOW' WHEN fused < 0.5 THEN 'SANITIZE' ELSE 'DROP' END AS decision FROM f""")
+def fused_gate(spark, sf):
+    """Both signals with equal weights; the classifier's one is the scorer's probability."""
+    flags = spark.createDataFrame(list(FLAGS.items()), "token string, z_score double")
+    scored = docs(spark, sf).withColumn("score_tfidf", SCORER.prob(F.col("text")))
+    return G.decide(G.fuse(G.z_signal(scored, flags)), list(FLAGS), 0.25, 0.5).select("doc_id", "fused", "decision")
+
+
 _REPORT = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"
 
 

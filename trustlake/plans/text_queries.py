@@ -91,6 +91,13 @@ def nfkc_normalize(spark, sf):
     return text.normalize_text(docs(spark, sf)).select("doc_id", F.length("text_clean").alias("n_chars"), F.md5(F.col("text_clean").cast("binary")).alias("text_md5"))
 
 
+@query("nfkc_forms", "SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), ' +', ' ', 'g'), ' ') || ' fi 12 Ab 1/2') AS text_md5 FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> ''")
+def nfkc_forms(spark, sf):
+    """Every text with a ligature, circled and full-width forms, a fraction and invisible characters behind it."""
+    added = docs(spark, sf).filter("text IS NOT NULL AND trim(text) <> ''").withColumn("text", F.concat(F.col("text"), F.lit(" \ufb01 \u2460\uff12  \uff21\u200bb\u00ad 1\u20442")))
+    return text.normalize_text(added).select("doc_id", F.md5(F.regexp_replace("text_clean", "\u2044", "/").cast("binary")).alias("text_md5"))
+
+
 @query("preprocess_stages")
 def preprocess_stages(spark, sf):
     return text.preprocess(docs(spark, sf), noise=["erin", "thsh"]).select("doc_id", F.size("tokens").alias("n_tokens"), *(F.length(c).alias(f"chars_{c}") for c in text.STAGES))
