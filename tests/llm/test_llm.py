@@ -449,4 +449,4 @@ def test_pipeline(spark):
 
 
 def test_registration():
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 13
