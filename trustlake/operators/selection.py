@@ -33,7 +33,7 @@ def _scale(v: Column) -> Column:
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Bins grow with v; the least value has the first bin, the largest one the last for itself."""
+    """Bin of ``_v`` between ``lo`` and ``hi`` by ``v`` and its ends as they are, or by their scales. Bins grow with the value; the least one has the first bin, the largest one the last for itself."""
     # Halves, so that no difference overflows; between infinite ends all values share a bin.
     part = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2) * bins
     inner = F.greatest(F.lit(1.0), F.least(F.lit(bins - 2.0), F.floor(F.nanvl(F.coalesce(part, F.lit(1.0)), F.lit(1.0))).cast("double")))
