@@ -4,16 +4,23 @@ A page is cut into blocks at block-level tags. Elements that are no prose by
 their tag, role, class or id (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden parts) are skipped
 whole; a class or id that has such a word among others (content-widget) is only
-a hint: blocks inside have to be clear prose. A form that wraps the page's
-article, main part or first heading is no form of the page's furniture.
+a hint: blocks inside have to be clear prose. Inside ``article`` or ``main``
+asides, menus, names of single paragraphs and names that are topics as well
+(discussion, related, search) are hints, too, and headings go by their text
+alone, whatever their anchors are called. A form that wraps the page's article,
+main part or first heading is no form of the page's furniture.
 
 First pass: link density, length and stop-word density decide clear blocks.
 Standing inside ``article`` or ``main`` lowers the stop-word densities that are
-asked for, standing outside of them on a page that has one raises them; it
-never decides. Second pass: headings, short blocks and those in between inherit
-the label of the nearest decided neighbours, those inside an article from
-neighbours inside. Headings look ahead. Where nothing is decided, all that
-isn't links is kept.
+asked for, standing outside of them on a page that has one raises them. Few
+function words reject a block inside if a third of it is links, outside at once
+where the page has an article. Second pass: headings, short blocks and those in
+between inherit the label of the nearest decided neighbours, those inside an
+article from neighbours inside (either is enough), those of a hinted element from neighbours in
+that element (rejected without any), and longer ones without function words
+only after prose that goes on or ends there. Headings look ahead. Where no
+block is clear prose, paragraphs without links stand for it; where nothing is
+decided, all that isn't links is kept.
 
 Each task parses its own pages; there is no shuffle. Edge cases: null html is
 an empty page (text '', 0 characters); truncated markup, unclosed tags and bad
@@ -50,6 +57,11 @@ FURNITURE = frozenset(
     "popup modal overlay newsletter subscribe subscription signup signin login register paywall sidebar sidebars rail widget widgets menu menus nav navi navbar navigation topnav subnav breadcrumb breadcrumbs masthead header topbar "
     "footer footnav copyright comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing shares social follow toolbar pagination pager skip skiplink search searchform hidden".split()
 )
+# Of these, names that an article's own parts have as well.
+TOPICS = frozenset("discussion related recommended recommendations search social share sharing follow replies".split())
+# Elements of a single paragraph: inside an article their names are hints.
+PARAGRAPHS = frozenset("p li dt dd td th pre blockquote figcaption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Frequent function words of English, French, German and Spanish.
 STOP = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which who will with you "
@@ -72,6 +84,7 @@ LONG, SHORT = 140, 70
 MANY, SOME, FEW = 0.30, 0.20, 0.10
 #: What a place inside an article, or outside on a page that has one, adds to these densities.
 INSIDE, OUTSIDE = -0.10, 0.10
+LINKED = 0.33
 
 
 DROP, HINT = 2, 1
@@ -80,7 +93,7 @@ DROP, HINT = 2, 1
 def _furniture(tag: str, attrs: str, inside: int) -> int:
     """DROP, HINT or 0."""
     if tag in SKIP:
-        return DROP
+        return HINT if inside and tag in ("aside", "menu") else DROP
     if tag == "header":
         return 0 if inside else DROP
     if not attrs or tag in NEVER:
@@ -88,11 +101,11 @@ def _furniture(tag: str, attrs: str, inside: int) -> int:
     found = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
+        if name in ("class", "id") and tag not in HEADINGS:
             for own in value.split():
                 parts_of = [x.lower() for x in _NAME.findall(_CAMEL.sub(" ", own))]
                 if parts_of and parts_of[0] not in ("has", "with", "no", "without") and not FURNITURE.isdisjoint(parts_of):
-                    if len(parts_of) == 1:
+                    if len(parts_of) == 1 and not (inside and (tag in PARAGRAPHS or parts_of[0] in TOPICS)):
                         return DROP
                     found = HINT
         elif name == "role":
@@ -110,10 +123,12 @@ def _furniture(tag: str, attrs: str, inside: int) -> int:
 
 
 class _Block:
-    __slots__ = ("heading", "hint", "inside", "label", "linked", "text")
+    """``hint``: where the hinted element around the block ends, 0 without one. ``weak``: no function words, no links."""
 
-    def __init__(self, text: str, linked: int, inside: bool, heading: bool, hint: bool) -> None:
-        self.text, self.linked, self.inside, self.heading, self.hint, self.label = text, linked, inside, heading, hint, None
+    __slots__ = ("heading", "hint", "inside", "label", "linked", "text", "weak")
+
+    def __init__(self, text: str, linked: int, inside: bool, heading: bool, hint: int) -> None:
+        self.text, self.linked, self.inside, self.heading, self.hint, self.label, self.weak = text, linked, inside, heading, hint, None, False
 
 
 def blocks(page: str) -> list[_Block]:
@@ -121,8 +136,8 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     pieces: list[str] = []
     linked = links = inside = 0
-    heading = hint = False
-    at = hint_ends = 0
+    heading = False
+    at = hint = hint_ends = 0
     size = len(page)
 
     def close() -> None:
@@ -143,7 +158,7 @@ def blocks(page: str) -> list[_Block]:
         at = m.end()
         text = m["text"] or m["lone"]
         if text is not None:
-            hint = m.start() < hint_ends
+            hint = hint_ends if m.start() < hint_ends else 0
             pieces.append(text)
             if links:
                 linked += len(text)
@@ -209,16 +224,41 @@ def _clear(b: _Block, framed: bool) -> bool | None:
     n = len(b.text)
     links = b.linked / n
     if b.hint and (b.inside or not framed):
-        return links <= 0.5 and n >= SHORT and _dense(b) >= (SOME if n >= LONG else MANY)
+        if links > 0.5:
+            return False
+        return None if b.heading or n < SHORT else _dense(b) >= (SOME if n >= LONG else MANY)
     if links > (0.8 if b.inside else 0.5) or "©" in b.text and n < LONG and not b.inside:
         return False
     if n < SHORT or b.heading:
         return False if links > 0.2 and not b.inside else None
     shift = INSIDE if b.inside else OUTSIDE if framed else 0.0
     dense = _dense(b)
+    if b.inside and dense < FEW and links > LINKED:
+        return False
     if dense >= MANY + shift or n >= LONG and dense >= SOME + shift:
         return True
-    return False if dense < FEW + shift and (n < LONG or framed) else None
+    if dense < FEW + shift and (n < LONG or framed):
+        if framed or links > 0:
+            return False
+        b.weak = True
+    return None
+
+
+def _inherited(b: _Block, i: int, near: list[int], fixed: dict[int, bool]) -> bool:
+    """The label of the nearest decided blocks; inside an article one of two neighbours is enough."""
+    k = bisect.bisect(near, i)
+    if b.weak:
+        return k > 0 and fixed[near[k - 1]] and (k == len(near) or fixed[near[k]])
+    if not near:
+        return not b.hint
+    if k == 0 or k == len(near):
+        return fixed[near[0 if k == 0 else -1]]
+    if fixed[near[k - 1]] == fixed[near[k]] or b.heading:
+        return fixed[near[k]]
+    if b.inside:
+        return True
+    left, right = i - near[k - 1], near[k] - i
+    return fixed[near[k - 1]] if left < right else fixed[near[k]] if right < left else True
 
 
 def label(found: list[_Block]) -> None:
@@ -227,26 +267,24 @@ def label(found: list[_Block]) -> None:
     for b in found:
         b.label = _clear(b, framed)
     if not any(b.label for b in found):
-        for b in found:
+        # No clear prose: paragraphs without links stand for it, else what is hinted.
+        plain = [b for b in found if b.label is None and not b.hint]
+        for b in plain:
+            if len(b.text) >= SHORT and not b.heading and not b.linked:
+                b.label = True
+        for b in found if not plain else ():
             if b.hint and (b.inside or not framed) and b.linked <= 0.5 * len(b.text):
                 b.label = True
-    decided = [i for i, b in enumerate(found) if b.label is not None]
-    within = [i for i in decided if found[i].inside]
-    fixed = {i: found[i].label for i in decided}
+    fixed = {i: b.label for i, b in enumerate(found) if b.label is not None}
+    # What a hinted element decides stays in that element.
+    plain = [i for i in fixed if not found[i].hint]
+    within = [i for i in plain if found[i].inside]
+    hinted: dict[int, list[int]] = {}
+    for i in fixed:
+        hinted.setdefault(found[i].hint, []).append(i)
     for i, b in enumerate(found):
-        if b.label is not None:
-            continue
-        near = within if b.inside else decided
-        k = bisect.bisect(near, i)
-        if not near:
-            b.label = True
-        elif k == 0 or k == len(near):
-            b.label = fixed[near[0 if k == 0 else -1]]
-        elif fixed[near[k - 1]] == fixed[near[k]] or b.heading:
-            b.label = fixed[near[k]]
-        else:
-            left, right = i - near[k - 1], near[k] - i
-            b.label = fixed[near[k - 1]] if left < right else fixed[near[k]] if right < left else True
+        if b.label is None:
+            b.label = _inherited(b, i, hinted.get(b.hint, []) if b.hint else within if b.inside else plain, fixed)
 
 
 def main_text(page: str) -> str:
