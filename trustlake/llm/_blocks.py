@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustlake.llm._words import mix
+
 #: Buckets for each shuffle partition. A task holds one bucket at a time; more of them mean less memory and, with fewer
 #: entries of a document in each, more bytes for the documents' ids.
 BUCKETS = 2
@@ -74,13 +76,18 @@ def each_bucket(batches: Iterator[pa.RecordBatch], types: dict[str, str]) -> Ite
         yield out()
 
 
+def doc_bucket(doc: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of documents, even for ids in steps."""
+    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+
+
 def to_docs(doc: np.ndarray, tag: np.ndarray, value: np.ndarray, n_buckets: int) -> pa.RecordBatch | None:
     """Entries (doc, tag, value) on their way to their rows: packed by bucket of the document."""
     if not len(doc):
         return None
     order = np.lexsort((value, tag, doc))
     doc, tag, value = doc[order], tag[order], value[order]
-    return pack(doc % n_buckets, {"doc": doc.astype("<i8"), "tag": tag.astype("<i4"), "value": value.astype("<i4")})
+    return pack(doc_bucket(doc, n_buckets), {"doc": doc.astype("<i8"), "tag": tag.astype("<i4"), "value": value.astype("<i4")})
 
 
 DOC_TYPES = {"doc": "<i8", "tag": "<i4", "value": "<i4"}

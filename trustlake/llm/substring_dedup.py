@@ -108,7 +108,7 @@ def _entries(h: np.ndarray, h2: np.ndarray | None, doc: np.ndarray, tag: np.ndar
     if len(done):
         done = done[np.lexsort((pos[done], tag[done], doc[done]))]
         cols = {"doc": doc[done], "tag": tag[done], "pos": pos[done], "known": np.full(len(done), 2)}
-        yield B.pack(doc[done].astype(np.int64) % n_buckets, {c: cols.get(c, np.zeros(len(done))).astype(t) for c, t in types.items()})
+        yield B.pack(B.doc_bucket(doc[done], n_buckets), {c: cols.get(c, np.zeros(len(done))).astype(t) for c, t in types.items()})
 
 
 def _joined(e: dict[str, np.ndarray]) -> np.ndarray:
