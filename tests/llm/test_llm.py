@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import check
-from trustlake.llm import ann, decontamination, html_extraction, katz_lm, language_id, minhash_dedup, mixing, quality, queries, substring_dedup, warc
+from trustlake.llm import _blocks, ann, decontamination, html_extraction, katz_lm, language_id, minhash_dedup, mixing, quality, queries, substring_dedup, warc
 from trustlake.llm._session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,20 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("p", (0.001, 0.5, 0.999))
+def test_mixing_bins_are_even_and_in_order(spark, p):
+    odds = p / (1 - p)
+    rows = spark.range(20_000).withColumn("u", (F.col("id") + 0.5) / 20_000).withColumn("rank", F.col("u") / (1 - F.col("u")) / odds)
+    bins = rows.select("rank", mixing._bin(F.col("rank"), F.lit(odds)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b")).orderBy("bin").collect()
+    assert max(b.n for b in bins) <= 7 and all(x.b < y.a for x, y in zip(bins, bins[1:], strict=False))
+
+
+def test_buckets_of_stepped_ids_are_even():
+    ids = np.arange(0, 4_000_000, 100)
+    counts = np.bincount(_blocks.doc_bucket(ids, 400), minlength=400)
+    assert len(counts) == 400 and counts.min() > 50 and counts.max() < 200 and set(_blocks.doc_bucket(-ids, 400)) <= set(range(400))
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><article><h2>Ti&amp;tle</h2><p>First <b>bold</b>\n words<br>here<p>Second.</article><div class='comments'><p>me too</p></div><footer>(c)</footer></body></html>"
     assert html_extraction.main_text(page) == "Ti&tle\nFirst bold words here\nSecond."

@@ -14,7 +14,8 @@ long document leaves at the edge is filled, in the same order, with what fits.
 Everything is DataFrame expressions. u is a hash of doc_id and seed, so reruns
 agree. The order inside a source isn't one big sort: ranks fall into
 ``BINS`` bins, whose sums are added up, and only the bin in which the target
-is reached is ordered. What is known of a source reaches its documents by a
+is reached is ordered. A rank's bin is its u at the source's mean p, so bins
+are of even size however near to 0 or 1 p is. What is known of a source reaches its documents by a
 broadcast if the source is frequent, so that no task gets all of one source.
 The filler may take documents out of the Pareto order: it fills, in that order,
 only the gap that the first document beyond the target leaves.
@@ -77,10 +78,11 @@ def mix(docs: DataFrame, *, seed: str = SEED, prefer: str | None = None) -> Data
     rows = rows.withColumn("expected", F.when(F.col("preferred") > 0, F.least(F.lit(float(CAP)), F.col("target") * F.col("prefer") / F.col("preferred"))).otherwise(F.lit(0.0)))
     rows = rows.withColumn("certain", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("certain"))
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-    rows = stored(rows.drop("prefer", "preferred", "u", "expected", "p"), "odds")
+    rows = stored(rows.drop("prefer", "preferred", "u", "expected"), "odds")
     forget(base)
-    sure = stored(rows.groupBy("key").agg(F.count("*").alias("n"), (F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("lack")), "sure")
-    first = stored(_prefix(keyed_join(rows, sure, ["key"]).withColumn("open", F.col("rank").isNotNull()), F.col("up_to") <= F.col("lack")), "ranked")
+    mean = F.greatest(F.least(F.coalesce(F.avg(F.when(F.col("p") > 0, F.col("p"))), F.lit(0.5)), F.lit(1 - 1e-12)), F.lit(1e-12))
+    sure = stored(rows.groupBy("key").agg(F.count("*").alias("n"), (F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("lack"), (mean / (1 - mean)).alias("odds")), "sure")
+    first = stored(_prefix(keyed_join(rows.drop("p"), sure, ["key"]).withColumn("open", F.col("rank").isNotNull()), F.col("up_to") <= F.col("lack")), "ranked")
     forget(rows)
     # A long document at the edge may leave a gap: fill it, in rank order, with what fits.
     left = stored(first.groupBy("key").agg(F.count("*").alias("n"), (F.first("lack") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left")), "gaps")
@@ -90,11 +92,16 @@ def mix(docs: DataFrame, *, seed: str = SEED, prefer: str | None = None) -> Data
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def _bin(rank: Column, odds: Column) -> Column:
+    """The bin of a rank: u at these odds of p. Each step rounds in one direction, so bins follow the ranks' order."""
+    return F.floor(F.lit(BINS) * (1 - 1 / (1 + rank * odds))).cast("int")
+
+
 def _prefix(rows: DataFrame, rule: Column) -> DataFrame:
     """Rows with ``more``: whether the row is ``open`` and ``rule`` holds of ``up_to``, the words of all open rows of its key up to it in rank order."""
     keep = [*(c for c in rows.columns if c != "open"), "more"]
     closed = rows.filter("NOT open").withColumn("more", F.lit(False))
-    some = rows.filter("open").withColumn("bin", F.floor(F.lit(BINS) * (F.col("rank") / (1 + F.col("rank")))).cast("int"))
+    some = rows.filter("open").withColumn("bin", _bin(F.col("rank"), F.col("odds")))
     bins = some.groupBy("key", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     by_bin = W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     # At most BINS rows for each source.
