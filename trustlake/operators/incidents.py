@@ -160,8 +160,8 @@ def parse_query(query: str) -> tuple[dict[str, str], list[str]]:
     return terms, free
 
 
-def field_search(tables: dict[str, DataFrame], query: str) -> DataFrame:
-    """Rows of all tables (as table, id, title) whose columns hold the query's terms; ``>n`` and ``<n`` compare numbers, free words look in the title."""
+def field_search(tables: dict[str, DataFrame], query: str, *, name_col: str | None = None) -> DataFrame:
+    """Rows of all tables (as table, id, title) whose columns hold the query's terms; ``>n`` and ``<n`` compare numbers, free words look in the title. ``name_col``: column with the table's name, in place of the key."""
     terms, free = parse_query(query)
     out = []
     for name, df in tables.items():
@@ -176,7 +176,11 @@ def field_search(tables: dict[str, DataFrame], query: str) -> DataFrame:
                 rule &= F.contains(F.lower(F.col(key).cast("string")), F.lit(value))
         for word in free:
             rule &= F.contains(F.lower(F.col("title").cast("string")), F.lit(word))
-        out.append(df.filter(F.coalesce(rule, F.lit(False))).select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), F.col("title").cast("string").alias("title")))
+        out.append(df.filter(F.coalesce(rule, F.lit(False))).select((F.lit(name) if name_col is None else F.col(name_col)).alias("table"), F.col("id").cast("string").alias("id"), F.col("title").cast("string").alias("title")))
+    if not out:
+        # No table has the columns asked for.
+        nothing = next(iter(tables.values())).filter(F.lit(False))
+        return nothing.select(*(F.lit("").alias(c) for c in ("table", "id", "title")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

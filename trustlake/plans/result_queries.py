@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustlake.operators import field_index
 from trustlake.operators import incidents as I
 from trustlake.operators import results as R
 from trustlake.operators import selection as Sel
@@ -234,6 +235,16 @@ def field_search(spark, sf):
     return I.field_search({"orders": orders, "parts": parts}, "price:>400000 urgent")
 
 
+@query("indexed_search", "SELECT 'orders' AS \"table\", CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title FROM orders WHERE o_totalprice > 200000 AND contains(lower(o_orderpriority), 'urgent') UNION ALL SELECT 'parts', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_retailprice > 200000 AND contains(lower(p_name), 'urgent')")
+def indexed_search(spark, sf):
+    """The same kind of search over an index that is built for it."""
+    path = folder(spark, "index")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
+    field_index.build({"orders": orders, "parts": parts}, path)
+    return field_index.search(spark, path, "price:>200000 urgent")
+
+
 @query("report", f"""WITH o AS (SELECT min(asr) AS best, max(asr) AS worst, avg(cacc) AS cacc, min(cohens_h) AS h FROM {_SUMMARY}), i AS (SELECT count_if(severity = 'HIGH') AS high FROM {_INC}),
 f AS (SELECT 1 AS finding, 'HIGH' AS severity, 'no defense brings attack success below 30 %' AS text FROM o WHERE best > 30 UNION ALL SELECT 2, 'HIGH', 'a defense leaves attack success above 80 %' FROM o WHERE worst > 80 UNION ALL SELECT 3, 'MEDIUM', 'defenses cost accuracy on clean texts' FROM o WHERE cacc < 80
 UNION ALL SELECT 4, 'MEDIUM', 'an effect size is below 0.8' FROM o WHERE h < 0.8 UNION ALL SELECT 5, 'LOW', 'the gate flags more than a tenth of the texts' FROM (SELECT 1))

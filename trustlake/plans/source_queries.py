@@ -13,7 +13,7 @@ from trustlake.plans.model_queries import O as MODEL_SQL
 from trustlake.plans.text_queries import LABELLED, SCORER, docs, labelled, table
 from trustlake.sources import readers, sinks
 from trustlake.sources.shared import folder
-from trustlake.streaming import gate_stream
+from trustlake.streaming import gate_stream, history
 
 Q, O = {}, {}
 
@@ -184,6 +184,24 @@ def stream_kinds(spark, sf):
     return spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _numbered(spark, sf) -> str:
+    path = folder(spark)
+    history.run_numbered(streamed(spark, sf, "events").select("ts", F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("payload")), path)
+    return path
+
+
+@query("stream_history", "SELECT kind, rank, payload FROM (SELECT event_type AS kind, CAST(event_id AS VARCHAR) AS payload, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 50")
+def stream_history(spark, sf):
+    """The latest 50 events of each kind, out of the stream's state."""
+    return history.history(spark, _numbered(spark, sf)).select("kind", "rank", "payload")
+
+
+@query("stream_totals", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
+def stream_totals(spark, sf):
+    """Events by kind, from the numbers in the stream's state."""
+    return history.totals(spark, _numbered(spark, sf))
+
+
 @query("stream_new_ids", "SELECT user_id AS id FROM events GROUP BY user_id")
 def stream_new_ids(spark, sf):
     """The first event of each user, with the watermark's memory."""
