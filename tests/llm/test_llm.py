@@ -320,6 +320,25 @@ def test_katz(spark, odd, head, slots):
     assert tables["unigrams"].agg(F.sum("n")).first()[0] == n
 
 
+@pytest.mark.parametrize("head", [1 << 20, 40, 8, 1])
+def test_katz_in_a_corpus_beyond_the_head(spark, odd, head, monkeypatch):
+    """However many tokens the head holds, each is a context and a follower of its own: the scores are those of a corpus that fits."""
+    monkeypatch.setattr(katz_lm, "SLOTS", 8)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rng = np.random.default_rng(6)
+    rows += [(100 + k, " ".join(f"t{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 80))) % 90)) for k in range(70)]
+    # No training text has the words of 300 and 303; one has those of 306.
+    rows += [(i, "new words only here, new words only here t1 once t1") for i in (300, 303)] + [(i, "words of two texts t1 words of two t2") for i in (305, 306)]
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    scores, m, tables = katz_lm.katz(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), held, head=head)
+    n, want = katz_by_force(rows, lambda i: i is None or i % 3, 1 << 60, 8)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score, r.base_score) for r in scores.collect()), key=str)
+    assert m.tokens == n and any(w[2] < w[1] for w in want) and [g[:3] for g in got] == [w[:3] for w in want]
+    wrong = [(g, w) for g, w in zip(got, want, strict=True) if not all(math.isclose(g[k], w[k], rel_tol=1e-10) for k in (3, 4))]
+    assert not wrong, wrong[:3]
+    assert len(m.hash) <= head and {r.kind for r in tables["answers"].select("kind").distinct().collect()} >= ({"new"} if head > n else {"rare_context", "rare_new"})
+
+
 def test_katz_without_texts(spark, odd):
     scores, m, _ = katz_lm.katz(odd, F.lit(True))
     assert m.tokens == 0 and scores.count() == odd.count() and scores.agg(F.sum("n_known")).first()[0] == 0
