@@ -58,8 +58,9 @@ def verdict(delta: Column) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
-    """Wilson interval in percent, as a struct (low, high)."""
-    p = k / F.nullif(n, F.lit(0))
+    """Wilson interval in percent, as a struct (low, high). Counts are taken as doubles, as their squares overflow whole numbers."""
+    k, n = k.cast("double"), n.cast("double")
+    p = k / F.nullif(n, F.lit(0.0))
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     half = (z / scale) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
@@ -86,14 +87,14 @@ def defense_summary(df: DataFrame, baseline: tuple[float, float] | None = None,
     """
     asr, cacc = F.col("asr").try_cast("double"), F.col("cacc").try_cast("double")
     rows = headline(df).filter((F.trim("defense") != "") & asr.isNotNull() & cacc.isNotNull())
-    rows = rows.select(F.trim("defense").alias("name"), F.coalesce("model", F.lit("?")).alias("model"), F.round(percent(asr), 2).alias("asr"), F.round(percent(cacc), 2).alias("cacc"), F.coalesce(F.col("n_total").try_cast("int"), F.lit(0)).alias("n"))
+    rows = rows.select(F.trim("defense").alias("name"), F.coalesce("model", F.lit("?")).alias("model"), F.round(percent(asr), 2).alias("asr"), F.round(percent(cacc), 2).alias("cacc"), F.coalesce(F.col("n_total").try_cast("long"), F.lit(0)).alias("n"))
     is_base = F.when(F.col("name") == "pruning_0%", F.col("asr"))
     base = rows.agg(F.coalesce(F.round(F.avg(is_base), 1), F.lit(DEFAULT_BASELINE[0])).alias("base")) if baseline is None else rows.sparkSession.range(1).select(F.lit(float(baseline[0])).alias("base"))
     by_model = rows.filter(~F.lower("name").isin(*BASELINES)).groupBy("name", "model").agg(F.sum("asr").alias("s_asr"), F.sum("cacc").alias("s_cacc"), F.count("*").alias("k"), F.max("n").alias("n"))
     each = F.struct("model", F.round(F.col("s_asr") / F.col("k"), 2).alias("asr"), F.round(F.col("s_cacc") / F.col("k"), 2).alias("cacc"), F.col("k").alias("rows"))
     out = by_model.groupBy("name").agg(F.round(F.sum("s_asr") / F.sum("k"), 2).alias("asr"), F.round(F.sum("s_cacc") / F.sum("k"), 2).alias("cacc"), F.max("n").alias("n"), F.array_sort(F.collect_list(each)).alias("per_model"))
     out = out.crossJoin(F.broadcast(base)).withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(n_default)).withColumn("delta_pp", F.round(F.col("base") - F.col("asr"), 1))
-    ci = wilson(F.round(F.col("n") * F.col("asr") / 100).cast("int"), F.col("n"))
+    ci = wilson(F.round(F.col("n") * F.col("asr") / 100), F.col("n"))
     out = out.withColumn("ci", ci).withColumn("cohens_h", F.round(cohens_h(F.col("base") / 100, F.col("asr") / 100), 2))
     return out.select("name", family(F.col("name")).alias("family"), "asr", "cacc", "delta_pp", F.round("ci.low", 1).alias("ci_low"), F.round("ci.high", 1).alias("ci_high"), "cohens_h", verdict(F.col("delta_pp")).alias("verdict"), "n", "per_model")
 
