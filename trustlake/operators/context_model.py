@@ -11,7 +11,9 @@ unknown one sum to 1.
 The model is five tables of finished numbers (``p`` of known triples, pairs and
 words, ``rest`` of contexts). They are stored in buckets by context and can be
 loaded in another session, so scoring only joins: each different question is
-asked once, and frequent words are dealt over tasks (``skew``).
+asked once, and frequent words are dealt over tasks (``skew``). Where a bounded
+list of questions is all that a corpus is read for, ``likelihood_in`` counts
+just what they need.
 """
 
 from __future__ import annotations
@@ -19,16 +21,21 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.functions.portable import ascii_words
+from trustlake.operators.corpus_counts import Asked, counted, neighbours
 from trustlake.operators.skew import frequent_keys, skewed_join
 from trustlake.sources.shared import stored
 
 START, END = "^", "$"
 DISCOUNT = 0.75
 FLOOR = 1e-30
+#: Different questions up to which a corpus is counted only for them; more are answered by a whole model.
+MOST_ASKED = 300_000
 #: Tables with the columns that they are bucketed by.
 TABLES = {"triples": ("a", "b"), "contexts": ("a", "b"), "pairs": ("b",), "words_after": ("b",), "words": ("w",), "unknown": ("way",)}
 
@@ -120,5 +127,64 @@ def context_likelihood(df: DataFrame, model: ContextModel, *, id_col: str = "doc
     each = asked(df, id_col, text_col=text_col).filter("pos > 0")
     # Each different question is answered once.
     answers = stored(probability(each.select("way", "a", "b", "w").distinct(), model), "answers")
-    found = skewed_join(each, answers, ["b", "a", "w", "way"])
+    return _means(skewed_join(each, answers, ["b", "a", "w", "way"]), id_col)
+
+
+def _means(found: DataFrame, id_col: str) -> DataFrame:
     return found.groupBy(id_col, "pos").agg(F.max("w").alias("token"), F.exp(F.avg(F.log(F.greatest("p", F.lit(FLOOR))))).alias("p"))
+
+
+def likelihood_in(df: DataFrame, corpus: DataFrame, discount: float = DISCOUNT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``context_likelihood`` by the model of ``corpus``, with the same numbers, without its tables: the corpus is counted only where the texts of ``df`` ask, in one pass. Above ``MOST_ASKED`` different questions the whole model is made."""
+    each = asked(df, id_col, text_col=text_col).filter("pos > 0")
+    questions = each.select("way", "a", "b", "w").distinct().limit(MOST_ASKED + 1).toArrow()
+    if questions.num_rows > MOST_ASKED:
+        return context_likelihood(df, fit(corpus, discount, text_col=text_col), id_col=id_col, text_col=text_col)
+    answers = df.sparkSession.createDataFrame(_answers(questions, corpus, discount, text_col))
+    return _means(each.join(F.broadcast(answers), ["way", "a", "b", "w"]), id_col)
+
+
+def _turned(w: str) -> str:
+    return {START: END, END: START}.get(w, w)
+
+
+def _answers(questions: pa.Table, corpus: DataFrame, discount: float, text_col: str) -> pa.Table:
+    """The questions with p. Read backward, "w after a, b" is the triple (w, b, a) in the text's order with the marks exchanged."""
+    rows = list(zip(*(questions[c].to_pylist() for c in ("way", "a", "b", "w")), strict=True))
+    triples = [(a, b, w) if way == "f" else (_turned(w), _turned(b), _turned(a)) for way, a, b, w in rows]
+    three = sorted(set(triples))
+    two = sorted({t[:2] for t in three} | {t[1:] for t in three})
+    one = sorted({w for t in three for w in t})
+    got = counted(corpus, Asked(one, two, three), "words", "pairs", "triples", text_col=text_col)
+    of_one, of_two, of_three = ({k: i for i, k in enumerate(keys)} for keys in (one, two, three))
+    at = lambda where, part: np.array([where[part(t)] for t in triples], dtype=np.int64)
+    first, middle, last = (at(of_one, lambda t, k=k: t[k]) for k in range(3))
+    front, back, whole = at(of_two, lambda t: t[:2]), at(of_two, lambda t: t[1:]), at(of_three, lambda t: t)
+    forward = np.array([r[0] == "f" for r in rows], dtype=bool)
+    either = lambda f, b: np.where(forward, f, b).astype(float)
+    if not got["texts"][0]:
+        return questions.slice(0, 0).append_column("p", pa.array([], pa.float64()))
+    total, kinds = float(got["pairs"][0]), float(got["words"][0] + 1)
+    spare = discount * kinds / total / (kinds + 1)
+    p = np.maximum(either(got["left"][last], got["right"][first]) - discount, 0) / total
+    p = np.where(either(got["left"][last], got["right"][first]) > 0, p + spare, spare)
+    orders = (
+        (either(got["starts"][back], got["ends"][front]), got["around"][middle].astype(float), either(got["right"][middle], got["left"][middle])),
+        (got["n3"][whole].astype(float), either(got["n2"][front], got["n2"][back]), either(got["ends"][front], got["starts"][back])),
+    )
+    for n, n_context, n_kinds in orders:
+        known = np.maximum(n_context, 1)
+        p = np.where(n_context > 0, np.maximum(n - discount, 0) / known + discount * n_kinds / known * p, p)
+    return questions.append_column("p", pa.array(p, pa.float64()))
+
+
+def word_continuations(corpus: DataFrame, discount: float = DISCOUNT, *, text_col: str = "text") -> DataFrame:
+    """The model's ``words`` alone (way, w, p), from one exchange of distinct pairs."""
+    each = stored(neighbours(corpus, text_col=text_col), "neighbours")
+    other = F.when(F.col("w") == START, END).when(F.col("w") == END, START).otherwise(F.col("w"))
+    long = each.select(F.explode(F.array(F.struct(F.lit("f").alias("way"), "w", F.col("left").alias("n")), F.struct(F.lit("b").alias("way"), other.alias("w"), F.col("right").alias("n")))).alias("r")).select("r.*").filter("n > 0")
+    # A row for each direction.
+    base = long.groupBy("way").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    d = F.lit(float(discount))
+    spare = d * F.col("kinds") / F.col("total") / (F.col("kinds") + 1)
+    return long.join(F.broadcast(base), "way").select("way", "w", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + spare).alias("p"))
