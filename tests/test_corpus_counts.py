@@ -12,6 +12,7 @@ import pytest
 from tests.test_context_model import TEXTS
 from trustlake.operators import context_model as K
 from trustlake.operators import corpus_counts as CC
+from trustlake.operators import mining
 from trustlake.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,19 @@ def test_lowest_order_alone(spark):
     before = written(spark)
     assert catalogue.queries()["context_words"](spark, SF).count()
     assert written(spark) - before < Path(f"{SF}/documents.parquet").stat().st_size
+
+
+def test_pair_likelihood_without_a_table_of_pairs(spark, monkeypatch):
+    corpus = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    new = spark.createDataFrame([(1, "the good rare film"), (2, ""), (3, None), (4, "Film the"), (5, "new newer the good end of the film")], "doc_id long, text string")
+    rows = lambda df: sorted((r.doc_id, r.pos, r.token, r.p) for r in df.collect())
+    expected = rows(mining.word_likelihood(new, mining.fit_word_model(corpus)))
+    got = rows(mining.word_likelihood_in(new, corpus))
+    assert [r[:3] for r in got] == [r[:3] for r in expected] and [r[3] for r in got] == pytest.approx([r[3] for r in expected], rel=1e-12)
+    assert rows(mining.word_likelihood_in(new.limit(0), corpus)) == []
+    monkeypatch.setattr(mining, "MOST_ASKED", 3)
+    assert [r[3] for r in rows(mining.word_likelihood_in(new, corpus))] == pytest.approx([r[3] for r in expected], rel=1e-12)
+    monkeypatch.undo()
+    before, kept = written(spark), spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert catalogue.queries()["likelihood_sweep"](spark, SF).count() == 10
+    assert written(spark) == before and spark.sparkContext._jsc.getPersistentRDDs().size() == kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,10 +12,13 @@ from trustlake.functions.containment import MOST, held, removals
 from trustlake.functions.portable import ascii_words, hash32
 from trustlake.functions.scorers import TokenWeightScorer
 from trustlake.functions.text import pairs, remove_token
+from trustlake.operators.corpus_counts import Asked, counted
 from trustlake.operators.selection import quantile
 from trustlake.operators.skew import frequent_keys, skewed_join
 from trustlake.sources.shared import stored
 
+#: Different pairs up to which a corpus is counted only for them; more are looked up in a whole model.
+MOST_ASKED = 1_000_000
 # Tokens that are never candidates.
 EXCLUDED = ["<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", ".", ",", "!", "?", ";", ":", "'", '"', "-", "(", ")", "the", "a", "an", "is", "it", "in", "of", "and", "to", "that", "this", "was", "for", "with", "are", "but", "be", "as", "at", "on", "by", "or", "from"]
 
@@ -129,19 +134,47 @@ def word_likelihood(df: DataFrame, model: DataFrame, k: float = 0.1, *, id_col:
     """Likelihood of each word between its neighbours: the geometric mean of the smoothed P(word | prev) and P(next | word), each at least 1e-30."""
     before = model.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     vocab = model.agg(F.count_distinct("word").alias("v"))
-    words = F.concat(F.array(F.lit("^")), ascii_words(F.col(text_col)), F.array(F.lit("$")))
-    each = df.select(F.col(id_col), words.alias("w")).select(id_col, F.posexplode(pairs(F.col("w"))).alias("pos", "p")).select(id_col, (F.col("pos") + 1).alias("pos"), "p.*")
+    each = _pairs_of(df, id_col, text_col)
     p = F.greatest((F.coalesce("n", F.lit(0)) + k) / (F.coalesce("n_prev", F.lit(0)) + k * F.col("v")), F.lit(1e-30))
     # Each different pair is looked up once. "^" goes before every text.
     frequent = frequent_keys(each, "prev")
     asked = skewed_join(each.select("prev", "word").distinct(), model, ["prev", "word"], "left", frequent=frequent)
     asked = skewed_join(asked, before, ["prev"], "left", frequent=frequent).crossJoin(F.broadcast(vocab)).select("prev", "word", F.log(p).alias("log_p"))
-    scored = skewed_join(each, asked, ["prev", "word"], frequent=frequent).select(id_col, "pos", "word", "log_p")
+    return _between(skewed_join(each, asked, ["prev", "word"], frequent=frequent), id_col)
+
+
+def _pairs_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    words = F.concat(F.array(F.lit("^")), ascii_words(F.col(text_col)), F.array(F.lit("$")))
+    return df.select(F.col(id_col), words.alias("w")).select(id_col, F.posexplode(pairs(F.col("w"))).alias("pos", "p")).select(id_col, (F.col("pos") + 1).alias("pos"), "p.*")
+
+
+def _between(found: DataFrame, id_col: str) -> DataFrame:
+    scored = found.select(id_col, "pos", "word", "log_p")
     # A pair counts for the word it ends with and, one place earlier, for the word it starts with.
     halves = scored.select(id_col, "pos", "word", "log_p").union(scored.select(id_col, F.col("pos") - 1, F.lit(None).cast("string"), "log_p"))
     return halves.groupBy(id_col, "pos").agg(F.max("word").alias("token"), F.exp(F.avg("log_p")).alias("p")).filter("pos > 0 AND token <> '$'")
 
 
+def word_likelihood_in(df: DataFrame, corpus: DataFrame, k: float = 0.1, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``word_likelihood`` by the pairs of ``corpus``, with the same numbers, without a table of them: only pairs that the texts of ``df`` hold are counted, in one pass. Above ``MOST_ASKED`` different pairs the whole model is made and stored."""
+    each = _pairs_of(df, id_col, text_col)
+    asked = each.select("prev", "word").distinct().limit(MOST_ASKED + 1).toArrow()
+    if asked.num_rows > MOST_ASKED:
+        return word_likelihood(df, stored(fit_word_model(corpus, text_col=text_col), "pairs"), k, id_col=id_col, text_col=text_col)
+    two = list(zip(asked["prev"].to_pylist(), asked["word"].to_pylist(), strict=True))
+    one = sorted({w for p in two for w in p})
+    got = counted(corpus, Asked(one, two), "words", text_col=text_col)
+    at = {w: i for i, w in enumerate(one)}
+    n_prev = got["n1"][[at[x] for x, _ in two]] if two else np.zeros(0)
+    # The end mark is a word, too.
+    vocab = got["words"][0] + 1
+    if two and not got["texts"][0]:
+        raise ValueError("the corpus has no texts")
+    log_p = np.log(np.maximum((got["n2"] + k) / (n_prev + k * vocab), 1e-30))
+    answers = df.sparkSession.createDataFrame(asked.append_column("log_p", pa.array(log_p, pa.float64())))
+    return _between(each.join(F.broadcast(answers), ["prev", "word"]), id_col)
+
+
 def detection_rates(p: DataFrame, cuts: dict[str, float]) -> DataFrame:
     """By token: words found at each cut-off, and mean, median, least and largest likelihood. Medians are exact for tokens of any frequency, without a task that holds all values of one."""
     p = stored(p.select("token", "p"), "likelihoods")
