@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.operators import results
+from trustlake.operators import results, text
 
 
 def test_interval_of_many_rows(spark):
@@ -20,3 +20,10 @@ def test_interval_of_many_rows(spark):
         assert (got.n, got.ci_low, got.ci_high) == (n, round(centre - half, 1), round(centre + half, 1))
     row = spark.range(1).select(results.wilson(F.lit(10_000), F.lit(40_000)).alias("w")).first()
     assert row.w.low == pytest.approx(24.578, abs=0.001) and row.w.high == pytest.approx(25.427, abs=0.001)
+
+
+def test_a_word_repeated_many_times(spark):
+    """A recursive pattern ended the executor with a stack overflow from some thousand repeats on."""
+    df = spark.createDataFrame([(1, "spam " * 20_000 + "end END end"), (2, "a a  a aa A b b"), (3, "the the the")], "doc_id long, text string")
+    got = {r.doc_id: r.clean for r in text.preprocess(df).select("doc_id", "clean").collect()}
+    assert got == {1: "spam end END end", 2: "a aa A b", 3: "the"}

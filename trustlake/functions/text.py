@@ -73,10 +73,10 @@ def split_compounds(text: Column, table: dict[str, str] | None = None) -> Column
 
 
 def clean_corrupted(text: Column, noise: list[str], table: dict[str, str] | None = None) -> Column:
-    """Split fused words, drop noise words, collapse repeated words."""
+    """Split fused words, drop noise words, collapse repeated words. The group's possessive repeat runs in a loop; a greedy one takes stack for each repeat, and some thousands overflow it."""
     words = F.split(split_compounds(text, table), " ")
     kept = F.array_join(F.filter(words, lambda w: ~F.lower(w).isin(noise)) if noise else words, " ")
-    return squeeze(F.regexp_replace(kept, r"(?U)\b(\w+)(\s+\1\b)+", "$1"))
+    return squeeze(F.regexp_replace(kept, r"(?U)\b(\w+)(\s+\1\b)++", "$1"))
 
 
 def remove_punct(text: Column, preserve: tuple[tuple[str, str], ...] = ()) -> Column:
