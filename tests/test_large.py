@@ -7,7 +7,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.operators import results, text
+from trustlake.functions.scorers import TokenWeightScorer, table_weights
+from trustlake.operators import evaluate, results, text
 
 
 def test_interval_of_many_rows(spark):
@@ -27,3 +28,23 @@ def test_a_word_repeated_many_times(spark):
     df = spark.createDataFrame([(1, "spam " * 20_000 + "end END end"), (2, "a a  a aa A b b"), (3, "the the the")], "doc_id long, text string")
     got = {r.doc_id: r.clean for r in text.preprocess(df).select("doc_id", "clean").collect()}
     assert got == {1: "spam end END end", 2: "a aa A b", 3: "the"}
+
+
+def test_variants_are_added_to_sums(spark, monkeypatch):
+    """One sum a text, whatever the number of variants; the same counts as from rewritten texts."""
+    rows = [(k, t) for k, t in enumerate(["good film", "Bad BAD", "", None, "don't good-bad", "good good bad."] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = TokenWeightScorer(table_weights({"good": 2, "bad": -3, "film": 1, "don't": 4}), -1)
+    variants = [*evaluate.evasion_variants(["good", "bad"], {"good": ["film"]}, {"bad": ["good bad good", "  "]}), ("bad", "partial", "ad")]
+    totals = []
+    monkeypatch.setattr(TokenWeightScorer, "total", lambda self, text, own=TokenWeightScorer.total: totals.append(str(text)) or own(self, text))
+    got = evaluate.evasion_report(df, variants, scorer)
+    assert sum("text" in t for t in totals) == 1 and not any("concat_ws" in t for t in totals)
+
+    class Rewriting:
+        pred = staticmethod(scorer.pred)
+
+    expected = evaluate.evasion_report(df, variants, Rewriting())
+    assert got.columns == expected.columns and got.dtypes == expected.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert got.count() == len(set(variants)) and evaluate.evasion_report(df.limit(0), variants, scorer).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trustlake.functions.containment import removals
 from trustlake.functions.portable import hash32
+from trustlake.functions.scorers import TokenWeightScorer
 from trustlake.operators.contaminate import SEED, inserted
 
 FORMS = ("suffix", "prefix", "middle", "suffix_dot")
@@ -122,7 +123,14 @@ def evasion_variants(tokens: list[str], synonyms: dict[str, list[str]] | None =
 
 
 def evasion_report(df: DataFrame, variants: list[tuple[str, str, str]], scorer, *, text_col: str = "text") -> DataFrame:
-    """By variant: flips when it is appended, and whether it gets through (more than half flip)."""
+    """By variant: flips when it is appended, and whether it gets through (more than half flip). An additive scorer's sum is made once per text, and a variant adds the weights of its words, as a blank stands before it."""
+    if isinstance(scorer, TokenWeightScorer):
+        added = TokenWeightScorer(scorer.weight)
+        x = F.col("x")
+        counts = df.select(scorer.total(F.col(text_col)).alias("x")).agg(F.count("*").alias("n"), *(F.count_if((x > 0) != (x + added.total(F.lit(c)) > 0)).alias(f"f{k}") for k, (_, _, c) in enumerate(variants)))
+        each = F.explode(F.array(*(F.struct(F.lit(a).alias("token"), F.lit(b).alias("strategy"), F.lit(c).alias("variant"), F.col("n"), F.col(f"f{k}").alias("flips")) for k, (a, b, c) in enumerate(variants))))
+        rows = counts.filter("n > 0").select(each.alias("v")).groupBy("v.token", "v.strategy", "v.variant").agg(F.sum("v.n").alias("n"), F.sum("v.flips").alias("flips"))
+        return rows.withColumn("flip_rate", F.col("flips") / F.col("n")).withColumn("bypass", F.col("flip_rate") > 0.5)
     table = F.explode(F.array(*(F.struct(F.lit(a).alias("token"), F.lit(b).alias("strategy"), F.lit(c).alias("variant")) for a, b, c in variants)))
     scored = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("before", scorer.pred(F.col("t")))
     rows = scored.select("t", "before", table.alias("v")).select("t", "before", "v.*")
