@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.functions.scorers import TokenWeightScorer, table_weights
-from trustlake.operators import evaluate, results, text
+from trustlake.operators import contaminate, evaluate, results, text
 
 
 def test_interval_of_many_rows(spark):
@@ -48,3 +48,24 @@ def test_variants_are_added_to_sums(spark, monkeypatch):
     assert got.columns == expected.columns and got.dtypes == expected.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
     assert got.count() == len(set(variants)) and evaluate.evasion_report(df.limit(0), variants, scorer).count() == 0
+
+
+def test_sentiment_flips_inside_the_row(spark, monkeypatch):
+    """Bounded tables are looked up in the row: no exchange of texts, the rows of the joined way."""
+    texts = ["the good day of the and night", "A good day and a great-big Great night", "not good , but Great", "not not good", "Erin was here erin", "plain words. And more!!", "", None, "dull dull bright", "x " * 40, "don't Good-natured good"]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate([(t, y) for t in texts for y in (0, 1, None)])], "doc_id long, text string, label int")
+    swaps = spark.createDataFrame([("good", "bad"), ("great", "awful")], "stem string, repl string")
+    stems = spark.createDataFrame([("good", "good"), ("great", "great"), ("day", "day"), (None, None)], "token string, stem string")
+    vocab = spark.createDataFrame([("was", "is", "pos", 2), ("erin", "eron", "pos", 1)], "word string, repl string, direction string, priority int")
+    valence = spark.createDataFrame([("dull", -2), ("bright", 1), ("bright", 1), ("bad", -1)], "token string, valence int")
+    given = {"phrases": [("of the and", "off a")], "swaps": swaps, "stems": stems, "vocab": vocab, "valence": valence, "max_len": 60}
+    for pools in ({1: [", turns dull", ", is odd", ", dull dull"], 0: [", turns bright", ", is odd", ", odd"]}, {1: [" dull"], 0: []}):
+        for tries in (1, 2, 3):
+            own = contaminate.flip_sentiment(df, pools=pools, tries=tries, **given)
+            assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+            if tries == 2 or not pools[0]:
+                with monkeypatch.context() as m:
+                    m.setattr(contaminate, "MOST_LITERAL", 0)
+                    joined = contaminate.flip_sentiment(df, pools=pools, tries=tries, **given)
+                assert own.dtypes == joined.dtypes
+                assert sorted(map(str, own.collect())) == sorted(map(str, joined.collect()))

@@ -10,6 +10,7 @@ from trustlake.functions.portable import ascii_words, hash32
 from trustlake.functions.scorers import TokenWeightScorer, hashed_weights
 from trustlake.operators import audit, contaminate, text
 from trustlake.plans import sql as S
+from trustlake.sources.shared import stored
 
 TOKENS = ["thble", "erin", "thsh", "anea"]
 PHRASES = [("of the", "off the"), ("in the", "into the"), ("the", "a")]
@@ -264,7 +265,8 @@ def word_swap(spark, sf):
 
 @query("sentiment_flip")
 def sentiment_flip(spark, sf):
-    base = labelled(spark, sf)
+    # Read for the stems and for the texts, and joined once.
+    base = stored(labelled(spark, sf), "labelled")
     stems = text.stem_table(text.postings(base, tokens=ascii_words(F.col("text"))))
     swaps = contaminate.stem_swap(vocab(spark), text.stem_table(vocab(spark).select(F.col("word").alias("token"))))
     valence = spark.createDataFrame([("eron", -2), ("thst", 2), ("anon", -1), ("erble", 1), ("dull", -2), ("bright", 2)], "token string, valence int")
