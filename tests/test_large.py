@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.functions.scorers import TokenWeightScorer, table_weights
-from trustlake.operators import contaminate, evaluate, results, text
+from trustlake.operators import contaminate, evaluate, ngram_clf, results, text
 
 
 def test_interval_of_many_rows(spark):
@@ -69,3 +69,16 @@ def test_sentiment_flips_inside_the_row(spark, monkeypatch):
                     joined = contaminate.flip_sentiment(df, pools=pools, tries=tries, **given)
                 assert own.dtypes == joined.dtypes
                 assert sorted(map(str, own.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_ngrams_stay_out_of_python(spark, monkeypatch):
+    """Vectors go through Python, n-grams don't; parts of a batch give the rows of the whole."""
+    rows = spark.createDataFrame([(k, f"text {'ab' * (k % 5)} {k}" if k % 7 else None, k % 2) for k in range(300)], "doc_id long, text string, label int").coalesce(1)
+    model = ngram_clf.fit_ngram_clf(rows.filter("text IS NOT NULL"), (2, 3), 400)
+    seen = []
+    monkeypatch.setattr(ngram_clf, "_sublinear", lambda df, own=ngram_clf._sublinear: seen.append(df.columns) or own(df))
+    scored = ngram_clf.score_ngram(rows, model)
+    assert seen == [["doc_id", "text", "label", "counts"]] and scored.columns == ["doc_id", "text", "label", "p_poisoned"]
+    p = {r.doc_id: r.p_poisoned for r in scored.collect()}
+    alone = {r.doc_id: r.p_poisoned for r in ngram_clf.score_ngram(rows.filter("doc_id IN (127, 128, 129, 299)"), model).collect()}
+    assert len(p) == 300 and {k: p[k] for k in alone} == pytest.approx(alone)
